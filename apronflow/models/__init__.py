@@ -1,0 +1 @@
+"""Feature tables, MLlib training, batch scoring and evaluation."""

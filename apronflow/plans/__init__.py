@@ -1,0 +1 @@
+"""Multi-step jobs composed from the operators."""
