@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from apronflow.catalog import views
+from apronflow.catalog.metrics import stable
 from apronflow.catalog.registry import query
 from apronflow.catalog.views import (
     BAGGAGE_SQL,
@@ -175,13 +176,12 @@ def score_risk(spark, d):
 
 @query(
     FLIGHTS
-    + """SELECT flight_id, round(least(CAST(100 AS DOUBLE),
-      greatest(delay_minutes - 10, CAST(0 AS DOUBLE)) / 90 * 100), 6) AS probability FROM flights"""
+    + """SELECT flight_id, CAST(CAST(least(CAST(100 AS DOUBLE),
+      greatest(delay_minutes - 10, CAST(0 AS DOUBLE)) / 90 * 100) AS FLOAT) AS DOUBLE) AS probability FROM flights"""
 )
 def delay_probability(spark, d):
-    return views.flights(spark, d).select(
-        "flight_id", F.round(risk.delay_probability(F.col("delay_minutes") - 10), 6).alias("probability")
-    )
+    probability = risk.delay_probability(F.col("delay_minutes") - 10)
+    return stable(views.flights(spark, d).select("flight_id", probability.alias("probability")), "probability")
 
 
 @query(
@@ -245,13 +245,13 @@ def drop_incomplete(spark, d):
 @query(
     FLIGHTS
     + """, sparse AS (SELECT flight_id, CASE WHEN gate_no = 1 THEN NULL ELSE delay_minutes END AS length FROM flights)
-    SELECT flight_id, round(coalesce(length, (SELECT quantile_cont(length, CAST(0.5 AS DOUBLE)) FROM sparse)), 6) AS length
+    SELECT flight_id, CAST(CAST(coalesce(length, (SELECT quantile_cont(length, CAST(0.5 AS DOUBLE)) FROM sparse)) AS FLOAT) AS DOUBLE) AS length
     FROM sparse"""
 )
 def impute_median(spark, d):
     sparse = F.when(F.col("gate_no") > 1, F.col("delay_minutes"))
     f = views.flights(spark, d).select("flight_id", sparse.alias("length"))
-    return prepare.impute_median(f, "length").select("flight_id", F.round("length", 6).alias("length"))
+    return stable(prepare.impute_median(f, "length"), "length")
 
 
 @query(

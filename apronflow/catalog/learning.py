@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from apronflow.catalog import views
-from apronflow.catalog.metrics import rounded
+from apronflow.catalog.metrics import stable
 from apronflow.catalog.registry import AS_OF, query
 from apronflow.catalog.views import FLIGHTS_SQL, PREDICTIONS_SQL, with_views
 from apronflow.functions.risk import is_delayed, training_risk
@@ -102,14 +102,14 @@ def hash_split(spark, d):
       UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM full_rates
       UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
         sum(f1 * support) / sum(support), sum(support) FROM full_rates)
-    SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support
+    SELECT class, CAST(CAST(precision AS FLOAT) AS DOUBLE) AS precision, CAST(CAST(recall AS FLOAT) AS DOUBLE) AS recall, CAST(CAST(f1 AS FLOAT) AS DOUBLE) AS f1, CAST(support AS BIGINT) AS support
     FROM report"""
 )
 def classification_report(spark, d):
     f = views.flights(spark, d).select("seq", training_risk("delay_minutes").alias("label"))
     guessed = views.predictions(spark, d).select(F.col("id").alias("seq"), F.col("risk_level").alias("guess"))
     report = evaluation.classification_report(f.join(guessed, "seq"), "label", "guess")
-    return rounded(report, precision=6, recall=6, f1=6)
+    return stable(report, "precision", "recall", "f1")
 
 
 @query()
@@ -235,14 +235,14 @@ def score_delay(spark, d):
 @query(
     FLIGHTS
     + """SELECT flight_id, airline, gate, CAST(50 AS DOUBLE) AS predicted_delay_percent, 'MEDIUM' AS delay_risk,
-      CAST(20 AS DOUBLE) AS predicted_delay, round(CAST(20 AS DOUBLE) / 90 * 100, 6) AS delay_probability, 'MEDIUM' AS risk_level
+      CAST(20 AS DOUBLE) AS predicted_delay, CAST(CAST(CAST(20 AS DOUBLE) / 90 * 100 AS FLOAT) AS DOUBLE) AS delay_probability, 'MEDIUM' AS risk_level
     FROM flights"""
 )
 def score_without_model(spark, d):
     f = views.flights(spark, d)
     percent = scoring.score_percent(f)
     delay = scoring.score_delay(f).select("flight_id", "predicted_delay", "delay_probability", "risk_level")
-    return rounded(percent.join(delay, "flight_id"), delay_probability=6)
+    return stable(percent.join(delay, "flight_id"), "delay_probability")
 
 
 @query(name="score_risk_model")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apronflow.catalog import views
-from apronflow.catalog.metrics import rounded
+from apronflow.catalog.metrics import stable
 from apronflow.catalog.registry import query
 from apronflow.catalog.views import FLIGHTS_SQL, FLOW_SQL, with_views
 from apronflow.functions.risk import predicted_risk
@@ -52,12 +52,12 @@ def stream_delay_alerts(spark, d):
     + """, placed AS (SELECT terminal, congestion, time_bucket(INTERVAL 30 MINUTE, timestamp) - to_minutes(CAST(30 * k AS INTEGER)) AS window_start
       FROM flow, range(4) AS r(k)),
     means AS (SELECT window_start, terminal, avg(congestion) AS mean FROM placed GROUP BY window_start, terminal)
-    SELECT window_start, window_start + INTERVAL 2 HOUR AS window_end, terminal, round(mean, 6) AS avg_congestion,
+    SELECT window_start, window_start + INTERVAL 2 HOUR AS window_end, terminal, CAST(CAST(mean AS FLOAT) AS DOUBLE) AS avg_congestion,
       'MEDIUM' AS priority FROM means WHERE mean > 75
       AND window_start + INTERVAL 2 HOUR <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM flow)"""
 )
 def stream_congestion(spark, d):
-    return rounded(table_of(rules.stream_congestion(views.flow_from(source(spark, d, "lineitem")))), avg_congestion=6)
+    return stable(table_of(rules.stream_congestion(views.flow_from(source(spark, d, "lineitem")))), "avg_congestion")
 
 
 @query(with_views(FLIGHTS_SQL) + "SELECT DISTINCT terminal, gate, airline FROM flights")
@@ -88,7 +88,7 @@ def stream_history(spark, d):
     + """, counts AS (SELECT date_trunc('hour', departure_time) AS window_start, gate, count(*) AS n FROM flights GROUP BY 1, 2),
     loads AS (SELECT window_start, max(n) AS max_flights, avg(n) AS mean, arg_min(gate, (-n, gate)) AS busiest_gate
       FROM counts GROUP BY window_start)
-    SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, max_flights, round(mean, 6) AS avg_flights, busiest_gate
+    SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, max_flights, CAST(CAST(mean AS FLOAT) AS DOUBLE) AS avg_flights, busiest_gate
     FROM loads WHERE max_flights > mean * 2
       AND window_start + INTERVAL 1 HOUR <= (SELECT max(departure_time) - INTERVAL 1 HOUR FROM flights)"""
 )
@@ -96,4 +96,4 @@ def stream_gate_load(spark, d):
     f = views.flights_from(source(spark, d, "events"))
     schema = rules.overused_gates(rules.gate_window_counts(views.flights(spark, d))).schema
     rows = finished(spark, lambda p, c: sinks.stream_gate_load(f, p, c, once=True), schema)
-    return rounded(rows.select(*schema.names), avg_flights=6)
+    return stable(rows.select(*schema.names), "avg_flights")

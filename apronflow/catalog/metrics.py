@@ -16,14 +16,18 @@ FLOW = with_views(FLOW_SQL)
 BOTH = with_views(FLIGHTS_SQL, FLOW_SQL)
 
 
-def rounded(df, **digits):
-    """Columns rounded far below any reported digit, so summation order cannot show."""
-    return df.withColumns({name: F.round(name, n) for name, n in digits.items()})
+def stable(df, *names):
+    """Doubles through FLOAT and back, so the order of summation cannot show in a comparison.
+
+    The SQL texts do the same. Decimal rounding would not help: means often end exactly
+    between two decimals.
+    """
+    return df.withColumns({name: F.col(name).cast("float").cast("double") for name in names})
 
 
 # joins -----------------------------------------------------------------------------------
 
-TERMINAL_SUMMARY = """ SELECT terminal, total_flights, round(avg_delay, 6) AS avg_delay, total_passengers
+TERMINAL_SUMMARY = """ SELECT terminal, total_flights, CAST(CAST(avg_delay AS FLOAT) AS DOUBLE) AS avg_delay, total_passengers
     FROM (SELECT terminal, count(flight_id) AS total_flights, avg(delay_minutes) AS avg_delay FROM {flights} GROUP BY terminal)
     JOIN (SELECT terminal, CAST(sum(passenger_count) AS BIGINT) AS total_passengers FROM flow GROUP BY terminal) USING (terminal)"""
 
@@ -31,7 +35,7 @@ TERMINAL_SUMMARY = """ SELECT terminal, total_flights, round(avg_delay, 6) AS av
 @query(BOTH + TERMINAL_SUMMARY.format(flights="flights"))
 def terminal_summary(spark, d):
     summary = kpis.terminal_summary(views.flights(spark, d), views.passenger_flow(spark, d))
-    return rounded(summary, avg_delay=6)
+    return stable(summary, "avg_delay")
 
 
 @query(
@@ -51,7 +55,7 @@ def encode(spark, d):
 @query(
     FLIGHTS
     + """, means AS (SELECT terminal, avg(delay_minutes) AS mean FROM flights WHERE terminal <> 'T3' GROUP BY terminal)
-    SELECT flight_id, terminal, round(coalesce(mean, 20), 6) AS terminal_mean
+    SELECT flight_id, terminal, CAST(CAST(coalesce(mean, 20) AS FLOAT) AS DOUBLE) AS terminal_mean
     FROM flights LEFT JOIN means USING (terminal)"""
 )
 def join_group_mean(spark, d):
@@ -59,7 +63,7 @@ def join_group_mean(spark, d):
     joined = joins.join_group_mean(
         f.select("flight_id", "terminal"), f.filter("terminal <> 'T3'"), ["terminal"], "delay_minutes", 20.0, "terminal_mean"
     )
-    return rounded(joined, terminal_mean=6)
+    return stable(joined, "terminal_mean")
 
 
 @query(
@@ -67,12 +71,12 @@ def join_group_mean(spark, d):
     + """, means AS (SELECT terminal, departure_hour AS hour, avg(delay_minutes) AS value FROM flights
       WHERE departure_hour % 4 <> 1 GROUP BY 1, 2),
     grid AS (SELECT terminal, CAST(h AS INTEGER) AS hour FROM (SELECT DISTINCT terminal FROM means), range(24) AS r(h))
-    SELECT terminal, hour, round(value, 6) AS value FROM grid LEFT JOIN means USING (terminal, hour)"""
+    SELECT terminal, hour, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM grid LEFT JOIN means USING (terminal, hour)"""
 )
 def reindex_hours(spark, d):
     f = views.flights(spark, d).filter("departure_hour % 4 <> 1")
     means = f.groupBy("terminal", F.col("departure_hour").alias("hour")).agg(F.avg("delay_minutes").alias("value"))
-    return rounded(joins.reindex_hours(means, "hour", "value", ["terminal"]), value=6)
+    return stable(joins.reindex_hours(means, "hour", "value", ["terminal"]), "value")
 
 
 @query(
@@ -80,12 +84,12 @@ def reindex_hours(spark, d):
     + """, means AS (SELECT day_of_week, avg(delay_minutes) AS value FROM flights
       WHERE day_of_week NOT IN ('Tue', 'Sun') GROUP BY 1),
     grid AS (SELECT * FROM (VALUES (0,'Mon'),(1,'Tue'),(2,'Wed'),(3,'Thu'),(4,'Fri'),(5,'Sat'),(6,'Sun')) AS t(day_no, day_of_week))
-    SELECT day_no, day_of_week, round(coalesce(value, 25), 6) AS value FROM grid LEFT JOIN means USING (day_of_week)"""
+    SELECT day_no, day_of_week, CAST(CAST(coalesce(value, 25) AS FLOAT) AS DOUBLE) AS value FROM grid LEFT JOIN means USING (day_of_week)"""
 )
 def reindex_days(spark, d):
     means = kpis.avg_delay_by(views.flights(spark, d).filter("day_of_week NOT IN ('Tue', 'Sun')"), "day_of_week")
     week = joins.reindex_days(means.withColumnRenamed("avg_delay", "value"), "day_of_week", "value", default=25.0)
-    return rounded(week, value=6)
+    return stable(week, "value")
 
 
 @query(
@@ -111,20 +115,20 @@ GATES = FLIGHTS + GATES_SQL
 
 
 @query(
-    GATES + """SELECT gate, flight_count, round(avg_delay, 6) AS avg_delay, utilization, efficiency FROM clipped"""
+    GATES + """SELECT gate, flight_count, CAST(CAST(avg_delay AS FLOAT) AS DOUBLE) AS avg_delay, utilization, efficiency FROM clipped"""
 )
 def gate_performance(spark, d):
-    return rounded(gates.gate_performance(views.flights(spark, d)), avg_delay=6)
+    return stable(gates.gate_performance(views.flights(spark, d)), "avg_delay")
 
 
 @query(
     GATES
-    + """SELECT gate, flight_count, round(avg_delay, 6) AS avg_delay, round(utilization, 6) AS utilization,
-      round(efficiency, 6) AS efficiency FROM unclipped"""
+    + """SELECT gate, flight_count, CAST(CAST(avg_delay AS FLOAT) AS DOUBLE) AS avg_delay, CAST(CAST(utilization AS FLOAT) AS DOUBLE) AS utilization,
+      CAST(CAST(efficiency AS FLOAT) AS DOUBLE) AS efficiency FROM unclipped"""
 )
 def gate_performance_unclipped(spark, d):
     performance = gates.gate_performance(views.flights(spark, d), clip=False)
-    return rounded(performance, avg_delay=6, utilization=6, efficiency=6)
+    return stable(performance, "avg_delay", "utilization", "efficiency")
 
 
 @query(
@@ -147,20 +151,20 @@ def _pairs_sql(source="clipped", above=85, worst="DESC"):
     return GATES + PAIRS_SQL.format(source=source, above=above, worst=worst)
 
 
-PAIR_COLUMNS = """SELECT position, worst_gate, round(worst_delay, 6) AS worst_delay, worst_efficiency, best_gate,
-      round(best_delay, 6) AS best_delay, best_efficiency FROM worst JOIN best USING (position) WHERE position <= 2"""
+PAIR_COLUMNS = """SELECT position, worst_gate, CAST(CAST(worst_delay AS FLOAT) AS DOUBLE) AS worst_delay, worst_efficiency, best_gate,
+      CAST(CAST(best_delay AS FLOAT) AS DOUBLE) AS best_delay, best_efficiency FROM worst JOIN best USING (position) WHERE position <= 2"""
 
 
 @query(_pairs_sql() + PAIR_COLUMNS)
 def pair_gates(spark, d):
     pairs = gates.pair_gates(gates.gate_performance(views.flights(spark, d)))
-    return rounded(pairs, worst_delay=6, best_delay=6)
+    return stable(pairs, "worst_delay", "best_delay")
 
 
 @query(_pairs_sql(worst="ASC") + PAIR_COLUMNS)
 def pair_gates_worst_first(spark, d):
     pairs = gates.pair_gates(gates.gate_performance(views.flights(spark, d)), worst_first=True)
-    return rounded(pairs, worst_delay=6, best_delay=6)
+    return stable(pairs, "worst_delay", "best_delay")
 
 
 @query(
@@ -192,11 +196,11 @@ def gate_recommendation(spark, d):
 @query(
     FLIGHTS
     + """, n AS (SELECT gate, count(*) AS n FROM flights GROUP BY gate)
-    SELECT max(n) AS max_flights, round(avg(n), 6) AS avg_flights,
+    SELECT max(n) AS max_flights, CAST(CAST(avg(n) AS FLOAT) AS DOUBLE) AS avg_flights,
       (SELECT gate FROM n ORDER BY n DESC, gate LIMIT 1) AS busiest_gate FROM n"""
 )
 def gate_load(spark, d):
-    return rounded(gates.gate_load(views.flights(spark, d)), avg_flights=6)
+    return stable(gates.gate_load(views.flights(spark, d)), "avg_flights")
 
 
 CONFLICTS_SQL = FLIGHTS + """,
@@ -238,35 +242,35 @@ def home_kpis(spark, d):
     return kpis.home_kpis(views.flights(spark, d))
 
 
-DAILY_SQL = """SELECT date, count(flight_id) AS total_flights, round(avg(delay_minutes), 6) AS avg_delay,
-      max(delay_minutes) AS max_delay, round(sum(delay_minutes), 4) AS total_delay FROM flights GROUP BY date"""
+DAILY_SQL = """SELECT date, count(flight_id) AS total_flights, CAST(CAST(avg(delay_minutes) AS FLOAT) AS DOUBLE) AS avg_delay,
+      max(delay_minutes) AS max_delay, CAST(CAST(sum(delay_minutes) AS FLOAT) AS DOUBLE) AS total_delay FROM flights GROUP BY date"""
 
 
 @query(FLIGHTS + DAILY_SQL)
 def daily_summary(spark, d):
-    return rounded(kpis.daily_summary(views.flights(spark, d)), avg_delay=6, total_delay=4)
+    return stable(kpis.daily_summary(views.flights(spark, d)), "avg_delay", "total_delay")
 
 
 @query(
     FLIGHTS
-    + """SELECT airline, count(flight_id) FILTER (gate_no > 1) AS total_flights, round(avg(delay_minutes), 6) AS avg_delay,
+    + """SELECT airline, count(flight_id) FILTER (gate_no > 1) AS total_flights, CAST(CAST(avg(delay_minutes) AS FLOAT) AS DOUBLE) AS avg_delay,
       max(delay_minutes) AS max_delay,
-      round(count(*) FILTER (delay_minutes <= 15) / CAST(count(*) AS DOUBLE) * 100, 6) AS on_time_rate
+      CAST(CAST(count(*) FILTER (delay_minutes <= 15) / CAST(count(*) AS DOUBLE) * 100 AS FLOAT) AS DOUBLE) AS on_time_rate
     FROM flights GROUP BY airline"""
 )
 def airline_summary(spark, d):
     # ids missing at gate 1: the flight count skips them, the on-time rate does not
     f = views.flights(spark, d).withColumn("flight_id", F.when(F.col("gate_no") > 1, F.col("flight_id")))
-    return rounded(kpis.airline_summary(f), avg_delay=6, on_time_rate=6)
+    return stable(kpis.airline_summary(f), "avg_delay", "on_time_rate")
 
 
 @query(
     FLIGHTS
-    + """SELECT terminal, count(flight_id) AS total_flights, round(avg(delay_minutes), 6) AS avg_delay
+    + """SELECT terminal, count(flight_id) AS total_flights, CAST(CAST(avg(delay_minutes) AS FLOAT) AS DOUBLE) AS avg_delay
     FROM flights GROUP BY terminal"""
 )
 def terminal_flights(spark, d):
-    return rounded(kpis.terminal_flights(views.flights(spark, d)), avg_delay=6)
+    return stable(kpis.terminal_flights(views.flights(spark, d)), "avg_delay")
 
 
 @query(FLOW + "SELECT terminal, CAST(sum(passenger_count) AS BIGINT) AS total_passengers FROM flow GROUP BY terminal")
@@ -274,23 +278,23 @@ def terminal_passengers(spark, d):
     return kpis.terminal_passengers(views.passenger_flow(spark, d))
 
 
-@query(FLIGHTS + "SELECT airline, round(avg(delay_minutes), 6) AS avg_delay FROM flights GROUP BY airline")
+@query(FLIGHTS + "SELECT airline, CAST(CAST(avg(delay_minutes) AS FLOAT) AS DOUBLE) AS avg_delay FROM flights GROUP BY airline")
 def avg_delay_by_airline(spark, d):
-    return rounded(kpis.avg_delay_by_airline(views.flights(spark, d)), avg_delay=6)
+    return stable(kpis.avg_delay_by_airline(views.flights(spark, d)), "avg_delay")
 
 
-@query(FLIGHTS + "SELECT departure_hour, round(avg(delay_minutes), 6) AS avg_delay FROM flights GROUP BY departure_hour")
+@query(FLIGHTS + "SELECT departure_hour, CAST(CAST(avg(delay_minutes) AS FLOAT) AS DOUBLE) AS avg_delay FROM flights GROUP BY departure_hour")
 def avg_delay_by_hour(spark, d):
-    return rounded(kpis.avg_delay_by_hour(views.flights(spark, d)), avg_delay=6)
+    return stable(kpis.avg_delay_by_hour(views.flights(spark, d)), "avg_delay")
 
 
 @query(
     FLIGHTS
-    + """SELECT CAST(isodow(departure_time) - 1 AS INTEGER) AS day_no, day_of_week, round(avg(delay_minutes), 6) AS avg_delay
+    + """SELECT CAST(isodow(departure_time) - 1 AS INTEGER) AS day_no, day_of_week, CAST(CAST(avg(delay_minutes) AS FLOAT) AS DOUBLE) AS avg_delay
     FROM flights GROUP BY 1, 2"""
 )
 def avg_delay_by_day(spark, d):
-    return rounded(kpis.avg_delay_by_day(views.flights(spark, d)), avg_delay=6)
+    return stable(kpis.avg_delay_by_day(views.flights(spark, d)), "avg_delay")
 
 
 @query(
@@ -315,19 +319,18 @@ def delay_histogram(spark, d):
 
 
 QUARTILE_COLUMNS = ", ".join(
-    f"round(quantile_cont(delay_minutes, CAST({p} AS DOUBLE)), 6) AS {name}" for name, p in kpis.QUARTILES.items()
+    f"CAST(CAST(quantile_cont(delay_minutes, CAST({p} AS DOUBLE)) AS FLOAT) AS DOUBLE) AS {name}" for name, p in kpis.QUARTILES.items()
 )
-QUARTILE_DIGITS = {name: 6 for name in kpis.QUARTILES}
 
 
 @query(FLIGHTS + f"SELECT weather, {QUARTILE_COLUMNS} FROM flights GROUP BY weather")
 def delay_quartiles_by_weather(spark, d):
-    return rounded(kpis.delay_quartiles(views.flights(spark, d), "weather"), **QUARTILE_DIGITS)
+    return stable(kpis.delay_quartiles(views.flights(spark, d), "weather"), *kpis.QUARTILES)
 
 
 @query(FLIGHTS + f"SELECT airline, {QUARTILE_COLUMNS} FROM flights GROUP BY airline")
 def delay_quartiles_by_airline(spark, d):
-    return rounded(kpis.delay_quartiles(views.flights(spark, d), "airline"), **QUARTILE_DIGITS)
+    return stable(kpis.delay_quartiles(views.flights(spark, d), "airline"), *kpis.QUARTILES)
 
 
 HEATMAP_SQL = "SELECT hour, gate, CAST(sum(passenger_count) AS BIGINT) AS passengers FROM flow {where} GROUP BY hour, gate"
@@ -358,11 +361,11 @@ def peak_hours(spark, d):
 
 @query(
     FLOW
-    + """SELECT max(passenger_count) AS max_passengers, round(avg(passenger_count), 6) AS avg_passengers
+    + """SELECT max(passenger_count) AS max_passengers, CAST(CAST(avg(passenger_count) AS FLOAT) AS DOUBLE) AS avg_passengers
     FROM flow WHERE hour = 8"""
 )
 def congestion_stats(spark, d):
-    return rounded(kpis.congestion_stats(views.passenger_flow(spark, d), 8), avg_passengers=6)
+    return stable(kpis.congestion_stats(views.passenger_flow(spark, d), 8), "avg_passengers")
 
 
 @query(

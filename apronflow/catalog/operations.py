@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from apronflow.catalog import views
-from apronflow.catalog.metrics import rounded
+from apronflow.catalog.metrics import stable
 from apronflow.catalog.registry import AS_OF, query
 from apronflow.catalog.views import CASES_SQL, FLIGHTS_SQL, FLOW_SQL, PREDICTIONS_SQL, with_views
 from apronflow.operators import series as series_ops
@@ -29,13 +29,13 @@ LEVEL = "CASE WHEN score < 40 THEN 'LOW' WHEN score < 70 THEN 'MEDIUM' ELSE 'HIG
     FLIGHTS
     + f""", scored AS (SELECT flight_id, least(CAST(100 AS DOUBLE), 30 * CAST(0.4 AS DOUBLE) + {FACTORS}
       + CASE WHEN is_weekend = 1 THEN 40 ELSE 20 END * CAST(0.1 AS DOUBLE)) AS score FROM flights)
-    SELECT flight_id, round(score, 6) AS risk_score, {LEVEL} FROM scored"""
+    SELECT flight_id, CAST(CAST(score AS FLOAT) AS DOUBLE) AS risk_score, {LEVEL} FROM scored"""
 )
 def statistical_risk(spark, d):
     f = views.flights(spark, d).select(
         "flight_id", "weather", F.col("departure_hour").alias("hour"), F.weekday("departure_time").alias("day_of_week")
     )
-    return rounded(risk_scores.statistical_risk(f).select("flight_id", "risk_score", "risk_level"), risk_score=6)
+    return stable(risk_scores.statistical_risk(f).select("flight_id", "risk_score", "risk_level"), "risk_score")
 
 
 @query(
@@ -45,25 +45,25 @@ def statistical_risk(spark, d):
       CASE WHEN mean IS NULL THEN 30 ELSE least(CAST(100 AS DOUBLE), mean * 2) END * CAST(0.4 AS DOUBLE) + {FACTORS}
       + CASE WHEN isodow({NOW}) >= 6 THEN 40 ELSE 20 END * CAST(0.1 AS DOUBLE)) AS score
       FROM flights LEFT JOIN means USING (terminal))
-    SELECT flight_id, round(score, 6) AS risk_score, {LEVEL} FROM scored"""
+    SELECT flight_id, CAST(CAST(score AS FLOAT) AS DOUBLE) AS risk_score, {LEVEL} FROM scored"""
 )
 def operational_risk(spark, d):
     f = views.flights(spark, d)
     known = f.filter("terminal <> 'T3'")
     scored = risk_scores.operational_risk(f.withColumn("hour", F.col("departure_hour")), known, AS_OF.date())
-    return rounded(scored.select("flight_id", "risk_score", "risk_level"), risk_score=6)
+    return stable(scored.select("flight_id", "risk_score", "risk_level"), "risk_score")
 
 
 @query(
     with_views(FLIGHTS_SQL, PREDICTIONS_SQL)
-    + """SELECT id, round(predicted_delay, 6) AS predicted_delay, round(delay_probability, 6) AS delay_probability,
+    + """SELECT id, CAST(CAST(predicted_delay AS FLOAT) AS DOUBLE) AS predicted_delay, CAST(CAST(delay_probability AS FLOAT) AS DOUBLE) AS delay_probability,
       risk_level, recommendation FROM predictions"""
 )
 def statistical_delay(spark, d):
     scored = views.predictions(spark, d).select(
         "id", "predicted_delay", "delay_probability", "risk_level", "recommendation"
     )
-    return rounded(scored, predicted_delay=6, delay_probability=6)
+    return stable(scored, "predicted_delay", "delay_probability")
 
 
 # forecasts -------------------------------------------------------------------------------
@@ -95,7 +95,7 @@ series AS (SELECT {key}hour, coalesce(value,
   FROM sided)"""
 
 
-@query(FLIGHTS + series_sql("airline", GAPS) + "SELECT airline, hour, round(value, 6) AS value FROM series")
+@query(FLIGHTS + series_sql("airline", GAPS) + "SELECT airline, hour, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM series")
 def interpolate_hours(spark, d):
     means = (
         views.flights(spark, d)
@@ -104,17 +104,17 @@ def interpolate_hours(spark, d):
         .agg(F.avg("delay_minutes").alias("value"))
     )
     gappy = joins.reindex_hours(means, "hour", "value", ["airline"])
-    return rounded(series_ops.interpolate_hours(gappy, ["airline"]), value=6)
+    return stable(series_ops.interpolate_hours(gappy, ["airline"]), "value")
 
 
-@query(FLIGHTS + series_sql() + "SELECT hour, round(value, 6) AS value FROM series")
+@query(FLIGHTS + series_sql() + "SELECT hour, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM series")
 def hourly_series(spark, d):
-    return rounded(forecast.hourly_series(views.flights(spark, d)), value=6)
+    return stable(forecast.hourly_series(views.flights(spark, d)), "value")
 
 
-@query(FLIGHTS + series_sql("gate", GAPS) + "SELECT gate, hour, round(value, 6) AS value FROM series")
+@query(FLIGHTS + series_sql("gate", GAPS) + "SELECT gate, hour, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM series")
 def hourly_series_by_gate(spark, d):
-    return rounded(forecast.hourly_series(views.flights(spark, d).filter(GAPS), ["gate"]), value=6)
+    return stable(forecast.hourly_series(views.flights(spark, d).filter(GAPS), ["gate"]), "value")
 
 
 @query(
@@ -135,11 +135,11 @@ START_SQL = """, start AS (SELECT {key}avg(value) FILTER (hour >= 18) AS mean,
     FLIGHTS
     + series_sql("terminal")
     + START_SQL.format(key="terminal, ", group="GROUP BY terminal")
-    + "SELECT terminal, round(mean, 6) AS mean, round(trend, 6) AS trend FROM start"
+    + "SELECT terminal, CAST(CAST(mean AS FLOAT) AS DOUBLE) AS mean, CAST(CAST(trend AS FLOAT) AS DOUBLE) AS trend FROM start"
 )
 def last_mean_and_trend(spark, d):
     s = forecast.hourly_series(views.flights(spark, d), ["terminal"])
-    return rounded(series_ops.last_mean_and_trend(s, ["terminal"]), mean=6, trend=6)
+    return stable(series_ops.last_mean_and_trend(s, ["terminal"]), "mean", "trend")
 
 
 def trend_sql(by: str, steps: int, factor: float) -> str:
@@ -149,21 +149,21 @@ ahead AS (SELECT {key}CAST(s AS INTEGER) AS step,
   greatest(CAST(0 AS DOUBLE), mean + trend * s * CAST({factor} AS DOUBLE)) AS value FROM start, range(1, {steps + 1}) AS r(s))"""
 
 
-TREND_COLUMNS = """step, round(value, 6) AS value, round(value * CAST(0.75 AS DOUBLE), 6) AS lower_bound,
-      round(value * CAST(1.25 AS DOUBLE), 6) AS upper_bound"""
-BOUNDS = {"value": 6, "lower_bound": 6, "upper_bound": 6}
+TREND_COLUMNS = """step, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value, CAST(CAST(value * CAST(0.75 AS DOUBLE) AS FLOAT) AS DOUBLE) AS lower_bound,
+      CAST(CAST(value * CAST(1.25 AS DOUBLE) AS FLOAT) AS DOUBLE) AS upper_bound"""
+BOUNDS = ["value", "lower_bound", "upper_bound"]
 
 
 @query(FLIGHTS + series_sql() + trend_sql("", 12, 1.75) + f"SELECT {TREND_COLUMNS} FROM ahead")
 def trend_forecast(spark, d):
     s = forecast.hourly_series(views.flights(spark, d))
-    return rounded(forecast.trend_forecast(s, 12, "Storm"), **BOUNDS)
+    return stable(forecast.trend_forecast(s, 12, "Storm"), *BOUNDS)
 
 
 @query(FLIGHTS + series_sql("gate") + trend_sql("gate", 24, 1.4) + f"SELECT gate, {TREND_COLUMNS} FROM ahead")
 def trend_forecast_by_gate(spark, d):
     s = forecast.hourly_series(views.flights(spark, d), ["gate"])
-    return rounded(forecast.trend_forecast(s, 48, "Rain", ["gate"]), **BOUNDS)
+    return stable(forecast.trend_forecast(s, 48, "Rain", ["gate"]), *BOUNDS)
 
 
 @query(
@@ -196,9 +196,9 @@ walk AS (
   SELECT gate, step + 1, lv + p1 * d1 + p2 * d2, p1 * d1 + p2 * d2, d1, p1 * psi1 + p2 * psi2, psi1,
     weight + p1 * psi1 + p2 * psi2, variance + weight * weight, p1, p2 FROM walk WHERE step < 12
 )
-SELECT gate, step, round(greatest(0, lv * m), 4) AS value,
-  round(greatest(0, (lv - sigma * sqrt(variance) * z) * m), 4) AS lower_bound,
-  round(greatest(0, (lv + sigma * sqrt(variance) * z) * m), 4) AS upper_bound
+SELECT gate, step, CAST(CAST(greatest(0, lv * m) AS FLOAT) AS DOUBLE) AS value,
+  CAST(CAST(greatest(0, (lv - sigma * sqrt(variance) * z) * m) AS FLOAT) AS DOUBLE) AS lower_bound,
+  CAST(CAST(greatest(0, (lv + sigma * sqrt(variance) * z) * m) AS FLOAT) AS DOUBLE) AS upper_bound
 FROM walk JOIN noise USING (gate), (SELECT CAST(1.15 AS DOUBLE) AS m, CAST(1.2815515655446004 AS DOUBLE) AS z)
 WHERE step > 0"""
 
@@ -210,7 +210,7 @@ WHERE step > 0"""
 def ar_forecast(spark, d):
     s = forecast.hourly_series(views.flights(spark, d), ["gate"])
     points = forecast.ar_forecast(s, 12, "Cloudy", ["gate"])
-    return rounded(points, value=4, lower_bound=4, upper_bound=4)
+    return stable(points, "value", "lower_bound", "upper_bound")
 
 
 WARNINGS_SQL = f""", warned AS (SELECT gate, step, strftime({NOW} + to_hours(step), '%H:%M') AS time,
@@ -501,12 +501,12 @@ def predictions_by_hour(spark, d):
 
 @query(
     HISTORY
-    + """SELECT id, created_at, airline, round(predicted_delay, 6) AS predicted_delay, risk_level
+    + """SELECT id, created_at, airline, CAST(CAST(predicted_delay AS FLOAT) AS DOUBLE) AS predicted_delay, risk_level
     FROM predictions ORDER BY created_at DESC, id DESC LIMIT 50"""
 )
 def recent_predictions(spark, d):
     newest = history.recent(views.predictions(spark, d))
-    return rounded(newest.select("id", "created_at", "airline", "predicted_delay", "risk_level"), predicted_delay=6)
+    return stable(newest.select("id", "created_at", "airline", "predicted_delay", "risk_level"), "predicted_delay")
 
 
 @query(

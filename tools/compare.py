@@ -1,4 +1,8 @@
-"""Run named queries and their SQL side by side: python tools/compare.py [folder] [name ...]"""
+"""Run named queries and their SQL side by side.
+
+python tools/compare.py [folder] [name ...]: the named queries, or all that have SQL;
+"rows-only" as a name stands for those that have none.
+"""
 
 from __future__ import annotations
 
@@ -64,7 +68,10 @@ def main() -> int:
     entry, spark, con = load_entry(), local_session(8), connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
     failed = []
-    for name in sys.argv[2:] or queries:
+    chosen = sys.argv[2:] or list(oracles)
+    if chosen == ["rows-only"]:
+        chosen = [name for name in queries if name not in oracles]
+    for name in chosen:
         started = time.time()
         try:
             df = queries[name](spark, folder)
