@@ -16,7 +16,7 @@ from apronflow.operators.quantiles import exact_quantiles, sketched_quantiles
 
 def share_of(condition: Column) -> Column:
     """Percent of all rows of the group for which the condition holds."""
-    return F.count(F.when(condition, 1)) / F.count("*") * 100
+    return F.try_divide(F.count(F.when(condition, 1)), F.count("*")) * 100
 
 
 def home_kpis(flights: DataFrame) -> DataFrame:

@@ -54,37 +54,29 @@ def id_hash(identifier: Column | str, seed: int = 42) -> Column:
 
 
 def smallest_share(df: DataFrame, label: str, value: str, share: float) -> DataFrame:
-    """Per label, the value below which (inclusive) exactly ``share`` of its rows lie.
+    """Per label, the value up to which exactly ``share`` of its rows lie.
 
     ``value`` is a uniform 60-bit number. The k-th smallest is found 20 bits at a time: each
     step counts rows per label and slot (map-side combined, at most 2**20 slots per label) and
     keeps the slot that holds the k-th row. No row is ever sorted or moved.
     """
-    totals = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    found = materialize(
-        totals.select(
-            label, F.bround(F.col("n") * share).cast("long").alias("k"), F.lit(0).cast("long").alias("slot")
-        ).filter("k > 0"),
-        "share",
-    )
+    slots_of_label = Window.partitionBy(label)
+    found = None
     for shift in (40, 20, 0):
-        slots = (
-            df.select(
-                label,
-                F.shiftright(value, shift).alias("_slot"),
-                F.shiftright(value, shift + 20).alias("slot"),
-            )
-            .join(found, [label, "slot"])
-            .groupBy(label, "k", "_slot")
-            .agg(F.count(F.lit(1)).alias("_n"))
-        )
-        earlier = F.coalesce(
-            F.sum("_n").over(Window.partitionBy(label).orderBy("_slot").rowsBetween(*_BEFORE)), F.lit(0)
-        )
+        slots = df.dropna(subset=[label]).select(label, F.shiftright(value, shift).alias("_slot"))
+        if found is None:
+            counts = slots.groupBy(label, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+            k = F.bround(F.sum("_n").over(slots_of_label) * share).cast("long")
+            counts = counts.withColumn("k", k)
+        else:
+            inside = slots.withColumn("slot", F.shiftright("_slot", 20)).join(found, [label, "slot"])
+            counts = inside.groupBy(label, "k", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+        earlier = F.sum("_n").over(slots_of_label.orderBy("_slot").rowsBetween(*_BEFORE))
+        rest = F.col("k") - F.col("_earlier")
         found = materialize(
-            slots.withColumn("_earlier", earlier)
-            .filter((F.col("_earlier") < F.col("k")) & (F.col("k") <= F.col("_earlier") + F.col("_n")))
-            .select(label, (F.col("k") - F.col("_earlier")).alias("k"), F.col("_slot").alias("slot")),
+            counts.withColumn("_earlier", F.coalesce(earlier, F.lit(0)))
+            .filter((rest > 0) & (rest <= F.col("_n")))
+            .select(label, rest.alias("k"), F.col("_slot").alias("slot")),
             "share",
         )
     return found.select(label, F.col("slot").alias("cutoff"))

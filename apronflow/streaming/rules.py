@@ -57,10 +57,17 @@ def stream_congestion(
 
 
 def stream_dedupe(
-    rows: DataFrame, keys: list[str], time: str, lateness: str = "1 hour"
+    rows: DataFrame, keys: list[str], time: str, lateness: str = "1 hour", salts: int = 16
 ) -> DataFrame:
-    """First arrival of each key; a key is remembered until the watermark passes it."""
-    return rows.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
+    """First arrival of each key; a key is remembered until the watermark passes it.
+
+    Copies are first removed per key and salt, where the salt is the number of the map task:
+    a key that floods the stream is spread over ``salts`` tasks, and the final step sees at
+    most that many copies of it per batch.
+    """
+    salted = rows.withColumn("_salt", F.spark_partition_id() % salts).withWatermark(time, lateness)
+    thinned = salted.dropDuplicatesWithinWatermark([*keys, "_salt"])
+    return thinned.dropDuplicatesWithinWatermark(keys).drop("_salt")
 
 
 def gate_window_counts(
