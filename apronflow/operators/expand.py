@@ -42,7 +42,10 @@ def expand_passengers(flow: DataFrame) -> DataFrame:
     Counts are summed per timestamp and gate, numbered by a two-phase running sum, cut into
     bounded runs and spread by hash before they are exploded, so one huge count is many tasks.
     """
-    runs = number_passengers(flow).repartition("first")
+    # a fixed number of partitions: runs are small before the explode, so sizes measured
+    # there must not merge them into few tasks
+    n = int(flow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = number_passengers(flow).repartition(n, "first")
     people = runs.select("*", F.explode(F.sequence("first", "last")).alias("number"))
     return people.select(
         F.format_string("P%05d", F.col("number")).alias("passenger_id"), "terminal", "gate", "timestamp"

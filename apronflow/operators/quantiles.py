@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apronflow.operators.ranking import prefix_sum
+from apronflow.operators.ranking import SMALL_ROWS, prefix_sum
 from apronflow.sources.scratch import materialize
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: dict[str, float], by: list[str] | None = None
+    df: DataFrame,
+    value: str,
+    probabilities: dict[str, float],
+    by: list[str] | None = None,
+    small: int = SMALL_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one column per entry of ``probabilities``.
 
@@ -24,7 +28,7 @@ def exact_quantiles(
         .groupBy(*by, "_value")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = prefix_sum(counts, ["_value"], "_n", by, name="_before")
+    ranked = prefix_sum(counts, ["_value"], "_n", by, "_before", small)
     size = ranked.groupBy(*by).agg(F.sum("_n").alias("_size"))
     if by:
         placed = ranked.join(materialize(size, "group-size"), by)

@@ -15,18 +15,33 @@ from apronflow.sources.scratch import materialize
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
+# rows one task may sort: about the size of one shuffle partition
+SMALL_ROWS = 1_000_000
+
 
 def prefix_sum(
-    df: DataFrame, order: list[str], weight: str, by: list[str] | None = None, name: str = "before"
+    df: DataFrame,
+    order: list[str],
+    weight: str,
+    by: list[str] | None = None,
+    name: str = "before",
+    small: int = SMALL_ROWS,
 ) -> DataFrame:
     """Sum of ``weight`` over the earlier rows of the same ``by`` group.
 
     ``by`` (without nulls) and ``order`` together must identify a row: aggregate copies first,
-    so that a value held by a third of all rows is one row here.
+    so that a value held by a third of all rows is one row here. The input is written and
+    counted; up to ``small`` rows a plain window is exact and bounded, beyond that slices are
+    used.
     """
     by = by or []
+    rows = materialize(df, "rows")
+    if rows.count() <= small:
+        window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(*_BEFORE)
+        return rows.withColumn(name, F.coalesce(F.sum(weight).over(window), F.lit(0)))
+
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = df.repartitionByRange(n, *by, *order)
+    ranges = rows.repartitionByRange(n, *by, *order)
     slices = materialize(ranges.withColumn("_slice", F.spark_partition_id()), "slices")
 
     keys = [*by, "_slice"]
@@ -39,10 +54,12 @@ def prefix_sum(
     return slices.join(starts, keys).select(*df.columns, total.alias(name))
 
 
-def number_rows(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+def number_rows(
+    df: DataFrame, order: list[str], name: str, start: int = 1, small: int = SMALL_ROWS
+) -> DataFrame:
     """Consecutive numbers over the whole table in ``order`` (unique)."""
     weighted = df.withColumn("_one", F.lit(1).cast("long"))
-    numbered = prefix_sum(weighted, order, "_one", name=name)
+    numbered = prefix_sum(weighted, order, "_one", name=name, small=small)
     return numbered.drop("_one").withColumn(name, (F.col(name) + start).cast("int"))
 
 
@@ -53,30 +70,37 @@ def id_hash(identifier: Column | str, seed: int = 42) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def smallest_share(df: DataFrame, label: str, value: str, share: float) -> DataFrame:
+def smallest_share(
+    df: DataFrame, label: str, value: str, share: float, small: int = SMALL_ROWS
+) -> DataFrame:
     """Per label, the value up to which exactly ``share`` of its rows lie.
 
-    ``value`` is a uniform 60-bit number. The k-th smallest is found 20 bits at a time: each
-    step counts rows per label and slot (map-side combined, at most 2**20 slots per label) and
-    keeps the slot that holds the k-th row. No row is ever sorted or moved.
+    ``value`` is a uniform 60-bit number. The k-th smallest is found from the top bits down:
+    each step counts rows per label and slot (map-side combined, at most 2**16 slots per label)
+    and keeps the slot that holds the k-th row. Once that slot holds few rows its values are
+    compared directly. The table itself is only scanned, never sorted or moved.
     """
-    slots_of_label = Window.partitionBy(label)
-    found = None
-    for shift in (40, 20, 0):
-        slots = df.dropna(subset=[label]).select(label, F.shiftright(value, shift).alias("_slot"))
+    of_label = Window.partitionBy(label)
+    known = df.dropna(subset=[label]).select(label, F.col(value).alias("_value"))
+    shift, parent, found = 44, None, None
+    while True:
+        slots = known.withColumn("_slot", F.shiftright("_value", shift))
         if found is None:
             counts = slots.groupBy(label, "_slot").agg(F.count(F.lit(1)).alias("_n"))
-            k = F.bround(F.sum("_n").over(slots_of_label) * share).cast("long")
-            counts = counts.withColumn("k", k)
+            counts = counts.withColumn("k", F.bround(F.sum("_n").over(of_label) * share).cast("long"))
         else:
-            inside = slots.withColumn("slot", F.shiftright("_slot", 20)).join(found, [label, "slot"])
+            inside = slots.withColumn("slot", F.shiftright("_value", parent)).join(found, [label, "slot"])
             counts = inside.groupBy(label, "k", "_slot").agg(F.count(F.lit(1)).alias("_n"))
-        earlier = F.sum("_n").over(slots_of_label.orderBy("_slot").rowsBetween(*_BEFORE))
+        earlier = F.sum("_n").over(of_label.orderBy("_slot").rowsBetween(*_BEFORE))
         rest = F.col("k") - F.col("_earlier")
-        found = materialize(
+        kept = materialize(
             counts.withColumn("_earlier", F.coalesce(earlier, F.lit(0)))
             .filter((rest > 0) & (rest <= F.col("_n")))
-            .select(label, rest.alias("k"), F.col("_slot").alias("slot")),
+            .select(label, rest.alias("k"), F.col("_slot").alias("slot"), "_n"),
             "share",
         )
-    return found.select(label, F.col("slot").alias("cutoff"))
+        if shift == 0:
+            return kept.select(label, F.col("slot").alias("cutoff"))
+        largest = kept.agg(F.max("_n")).first()[0] or 0
+        found, parent = kept.drop("_n"), shift
+        shift = 0 if largest <= small else max(shift - 16, 0)

@@ -10,7 +10,7 @@ from apronflow.models.training import stratified_split
 from apronflow.operators.expand import expand_baggage, expand_passengers, number_passengers
 from apronflow.operators.prepare import dedupe_first, impute_median
 from apronflow.operators.quantiles import exact_quantiles, sketched_quantiles
-from apronflow.operators.ranking import number_rows, prefix_sum
+from apronflow.operators.ranking import id_hash, number_rows, prefix_sum, smallest_share
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +25,13 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id INT, key STRING, value DOUBLE").repartition(7), rows
 
 
-def test_prefix_sum(skewed):
+# small = 0 forces the sliced path
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_prefix_sum(skewed, small):
     df, rows = skewed
-    got = {r.id: r.before for r in prefix_sum(df.withColumn("w", F.col("id") % 4), ["value", "id"], "w", ["key"]).collect()}
+    weighted = df.withColumn("w", F.col("id") % 4)
+    sums = prefix_sum(weighted, ["value", "id"], "w", ["key"], small=small)
+    got = {r.id: r.before for r in sums.collect()}
     expected, running = {}, {}
     for i, key, value in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
         expected[i] = running.get(key, 0)
@@ -35,15 +39,18 @@ def test_prefix_sum(skewed):
     assert got == expected
 
 
-def test_number_rows_is_consecutive(skewed):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_number_rows_is_consecutive(skewed, small):
     df, rows = skewed
-    got = [(r.n, r.id) for r in number_rows(df, ["value", "id"], "n").collect()]
+    got = [(r.n, r.id) for r in number_rows(df, ["value", "id"], "n", small=small).collect()]
     assert sorted(got) == [(n + 1, r[0]) for n, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))]
 
 
-def test_exact_quantiles(skewed):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_exact_quantiles(skewed, small):
     df, rows = skewed
-    got = {r.key: r for r in exact_quantiles(df, "value", {"a": 0.25, "b": 0.5, "c": 0.9}, ["key"]).collect()}
+    quantiles = exact_quantiles(df, "value", {"a": 0.25, "b": 0.5, "c": 0.9}, ["key"], small)
+    got = {r.key: r for r in quantiles.collect()}
     for key in {r[1] for r in rows}:
         values = [r[2] for r in rows if r[1] == key]
         for name, p in (("a", 0.25), ("b", 0.5), ("c", 0.9)):
@@ -80,6 +87,17 @@ def test_stratified_split_is_exact_per_class(skewed):
     assert {(r.id, r.is_test) for r in again.collect()} == {(r.id, r.is_test) for r in marked.collect()}
 
 
+@pytest.mark.parametrize("small", [0, 3, 10**6])
+def test_smallest_share_at_every_depth(skewed, small):
+    df, rows = skewed
+    hashed = df.withColumn("h", id_hash("id")).cache()
+    values = {}
+    for r in hashed.collect():
+        values.setdefault(r.key, []).append(r.h)
+    cuts = {r.key: r.cutoff for r in smallest_share(hashed, "key", "h", 0.2, small).collect()}
+    assert cuts == {k: sorted(v)[round(len(v) * 0.2) - 1] for k, v in values.items()}
+
+
 def test_split_keeps_copies_together(spark):
     df = spark.createDataFrame([("same", "a")] * 50 + [(f"id{i}", "a") for i in range(50)], "id STRING, label STRING")
     sides = stratified_split(df, "label", "id").filter("id = 'same'").select("is_test").distinct().count()
