@@ -161,7 +161,7 @@ def binary_risk(spark, d):
     FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS p FROM events)"""
 )
 def probability_risk(spark, d):
-    percent = F.get_json_object("props", "$.k").cast("int")
+    percent = views.props_k()
     return views.table(spark, d, "events").select("event_id", risk.probability_risk(percent).alias("level"))
 
 
@@ -170,7 +170,7 @@ def probability_risk(spark, d):
     FROM (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS p FROM events)"""
 )
 def score_risk(spark, d):
-    score = F.get_json_object("props", "$.k").cast("int")
+    score = views.props_k()
     return views.table(spark, d, "events").select("event_id", risk.score_risk(score).alias("level"))
 
 

@@ -20,7 +20,8 @@ from apronflow.streaming import rules, sinks
 
 def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     schema = views.table(spark, folder, name).schema
-    return sinks.stream_files(spark, folder, schema, f"{name}.parquet")
+    # a glob, since a stream takes a single file only through a pattern
+    return sinks.stream_files(spark, f"{folder}/{name}.{{parquet}}", schema)
 
 
 def finished(spark: SparkSession, start, schema) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from apronflow.catalog import views
@@ -475,19 +477,20 @@ PEOPLE_SQL = """, totals AS (SELECT timestamp, terminal, gate, CAST(sum(passenge
     FLOW
     + PEOPLE_SQL
     + """SELECT terminal, gate, count(*) AS passengers, min('P' || number) AS first_passenger,
-      max('P' || number) AS last_passenger, CAST(sum(CAST('0x' || substr(md5('P' || number
-        || strftime(timestamp, '%Y-%m-%d %H')), 1, 8) AS BIGINT)) AS BIGINT) AS digest
+      max('P' || number) AS last_passenger,
+      CAST(sum(CAST(number AS BIGINT) % 1000003 * (date_diff('hour', TIMESTAMP '1990-01-01', timestamp) % 1009)) AS BIGINT) AS digest
     FROM people GROUP BY terminal, gate"""
 )
 def expand_passengers(spark, d):
     """All passengers are generated; the result is a digest of them per gate."""
     people = expand.expand_passengers(views.passenger_flow(spark, d))
-    identity = F.concat("passenger_id", F.date_format("timestamp", "yyyy-MM-dd HH"))
+    number = F.substring("passenger_id", 2, 18).cast("long")
+    hours = F.timestamp_diff("HOUR", F.lit(dt.datetime(1990, 1, 1)), F.col("timestamp"))
     return people.groupBy("terminal", "gate").agg(
         F.count(F.lit(1)).alias("passengers"),
         F.min("passenger_id").alias("first_passenger"),
         F.max("passenger_id").alias("last_passenger"),
-        F.sum(F.conv(F.substring(F.md5(identity), 1, 8), 16, 10).cast("long")).alias("digest"),
+        F.sum(number % 1000003 * (hours % 1009)).alias("digest"),
     )
 
 

@@ -47,9 +47,9 @@ def expand_passengers(flow: DataFrame) -> DataFrame:
     n = int(flow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = number_passengers(flow).repartition(n, "first")
     people = runs.select("*", F.explode(F.sequence("first", "last")).alias("number"))
-    return people.select(
-        F.format_string("P%05d", F.col("number")).alias("passenger_id"), "terminal", "gate", "timestamp"
-    )
+    digits = F.col("number").cast("string")
+    padded = F.when(F.col("number") < 100_000, F.lpad(digits, 5, "0")).otherwise(digits)
+    return people.select(F.concat(F.lit("P"), padded).alias("passenger_id"), "terminal", "gate", "timestamp")
 
 
 def expand_baggage(passengers: DataFrame) -> DataFrame:

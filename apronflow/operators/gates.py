@@ -103,10 +103,10 @@ def gate_load(flights: DataFrame) -> DataFrame:
 def conflict_slots(flights: DataFrame, minutes: int = 30) -> DataFrame:
     """Departures per gate and second, with the number of other departures within the window.
 
-    Flights are counted per gate and second first, so a time bucket holds at most
-    ``60 * minutes`` rows however many flights share the gate. Each row is also placed in the
-    two neighbouring buckets, which makes the range window exact inside every bucket. Pairs
-    are counted, never built.
+    Flights are counted per gate and second first, so a bucket as long as the window holds a
+    bounded number of rows however many flights share the gate. A window around a second
+    covers its own bucket, the end of the one before and the start of the one after; markers
+    placed there read those parts off a running sum. Pairs are counted, never built.
     """
     width = minutes * 60
     slots = (
@@ -114,22 +114,50 @@ def conflict_slots(flights: DataFrame, minutes: int = 30) -> DataFrame:
         .groupBy("gate", F.unix_timestamp("departure_time").alias("second"))
         .agg(F.count(F.lit(1)).alias("departures"))
     )
-    home = F.floor(F.col("second") / width)
-    placed = slots.select("*", home.alias("_home"), F.explode(F.sequence(home - 1, home + 1)).alias("_bucket"))
-    timeline = Window.partitionBy("gate", "_bucket").orderBy("second")
-    near = F.sum("departures").over(timeline.rangeBetween(-width, width))
-    ahead = F.coalesce(F.sum("departures").over(timeline.rangeBetween(1, width)), F.lit(0))
-    n = F.col("departures")
-    return (
-        placed.withColumns({"_near": near, "_ahead": ahead})
-        .filter("_bucket = _home")
-        .select(
-            "gate",
-            "second",
-            "departures",
-            (F.col("_near") - 1).alias("others_within"),
-            (F.floor(n * (n - 1) / 2) + n * F.col("_ahead")).cast("long").alias("pairs"),
-        )
+    second, n = F.col("second"), F.col("departures")
+    home = F.floor(second / width)
+    none = F.lit(0).cast("long")
+    points = F.array(
+        *[
+            F.struct(
+                F.lit(side).alias("_side"),
+                (home + side).alias("_bucket"),
+                (second + side * width).alias("_at"),
+                (n if side == 0 else none).alias("_n"),
+            )
+            for side in (-1, 0, 1)
+        ]
+    )
+    placed = slots.select("gate", "second", "departures", F.inline(points))
+
+    bucket = Window.partitionBy("gate", "_bucket")
+    timeline = bucket.orderBy("_at")
+    total = F.sum("_n").over(bucket)
+    up_to = F.sum("_n").over(timeline.rangeBetween(Window.unboundedPreceding, 0))
+    earlier = F.coalesce(F.sum("_n").over(timeline.rangeBetween(Window.unboundedPreceding, -1)), none)
+    side = F.col("_side")
+    parts = placed.withColumns({"_total": total, "_up_to": up_to, "_earlier": earlier}).select(
+        "gate",
+        "second",
+        "departures",
+        F.when(side < 0, F.col("_total") - F.col("_earlier"))
+        .when(side == 0, F.col("_total"))
+        .otherwise(F.col("_up_to"))
+        .alias("_near"),
+        F.when(side < 0, none)
+        .when(side == 0, F.col("_total") - F.col("_up_to"))
+        .otherwise(F.col("_up_to"))
+        .alias("_ahead"),
+    )
+    near = parts.groupBy("gate", "second", "departures").agg(
+        F.sum("_near").alias("_near"), F.sum("_ahead").alias("_ahead")
+    )
+    return near.select(
+        "gate",
+        "second",
+        "departures",
+        (F.col("_near") - 1).alias("others_within"),
+        (F.floor(n * (n - 1) / 2) + n * F.col("_ahead")).cast("long").alias("pairs"),
     )
 
 

@@ -12,15 +12,10 @@ from apronflow.streaming.rules import gate_window_counts, overused_gates
 
 
 def stream_files(
-    spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", per_batch: int = 100
+    spark: SparkSession, path: str, schema: StructType, per_batch: int = 100
 ) -> DataFrame:
-    """New Parquet files of a folder, a bounded number per micro-batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", per_batch)
-        .parquet(folder)
-    )
+    """New Parquet files of a folder (or glob), a bounded number per micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 def start_table(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
