@@ -26,31 +26,28 @@ from apronflow.models.features import (
     SENSOR_FEATURES,
     WEATHER_DELAY_FEATURES,
 )
-from apronflow.operators.ranking import id_hash, smallest_share
+from apronflow.operators.ranking import id_digest, id_number, smallest_share
 from apronflow.sources.scratch import materialize, use_checkpoint_folder
 
-HASH_RANGE = 2**60
-
-
 def hash_split(df: DataFrame, identifier: str, test_share: float = 0.2, seed: int = 42):
-    """(train, test) by a threshold on the id hash: no shuffle, the same rows on every run."""
-    limit = int(test_share * HASH_RANGE)
-    position = id_hash(identifier, seed)
-    return df.filter(position >= limit), df.filter(position < limit)
+    """(train, test) by a threshold on the id digest: no shuffle, the same rows on every run."""
+    limit = f"{int(test_share * 16**15):015x}"
+    digest = id_digest(identifier, seed)
+    return df.filter(digest >= limit), df.filter(digest < limit)
 
 
 def stratified_split(
     df: DataFrame, label: str, identifier: str, test_share: float = 0.2, seed: int = 42
 ) -> DataFrame:
-    """``is_test`` = 1 for the given share of every class: those with the smallest id hashes.
+    """``is_test`` = 1 for the given share of every class: those with the smallest id digests.
 
-    The cut-off hash per class is found by counting (see ``smallest_share``), so a class that
+    The cut-off per class is found by counting (see ``smallest_share``), so a class that
     holds most rows is never sorted in one task. Copies of an id fall on the same side.
     """
-    keyed = df.withColumn("_hash", id_hash(identifier, seed))
-    cutoffs = smallest_share(keyed.select(label, "_hash"), label, "_hash", test_share)
+    keyed = df.withColumn("_digest", id_digest(identifier, seed))
+    cutoffs = smallest_share(keyed, label, "_digest", test_share)
     marked = keyed.join(cutoffs, label, "left")
-    inside = F.coalesce((F.col("_hash") <= F.col("cutoff")).cast("int"), F.lit(0))
+    inside = F.coalesce((F.col("_digest") <= F.col("cutoff")).cast("int"), F.lit(0))
     return marked.select(*df.columns, inside.alias("is_test"))
 
 
@@ -166,7 +163,7 @@ def train_risk_classifier(train: DataFrame, **settings) -> PipelineModel:
 
 
 def with_folds(df: DataFrame, identifier: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    return df.withColumn("fold", F.pmod(id_hash(identifier, seed), F.lit(folds)).cast("int"))
+    return df.withColumn("fold", F.pmod(id_number(identifier, seed), F.lit(folds)).cast("int"))
 
 
 def cross_validate_f1(

@@ -18,6 +18,8 @@ _BEFORE = (Window.unboundedPreceding, -1)
 # rows one task may sort: about the size of one shuffle partition
 SMALL_ROWS = 1_000_000
 
+DIGEST_LENGTH = 32
+
 
 def prefix_sum(
     df: DataFrame,
@@ -63,33 +65,40 @@ def number_rows(
     return numbered.drop("_one").withColumn(name, (F.col(name) + start).cast("int"))
 
 
-def id_hash(identifier: Column | str, seed: int = 42) -> Column:
-    """60-bit number from an md5 of the id: the same on every run and every engine."""
+def id_digest(identifier: Column | str, seed: int = 42) -> Column:
+    """md5 text of the id: uniform, and the same on every run and every engine.
+
+    Hex texts of one length sort like the numbers they write, so no conversion is needed.
+    """
     column = F.col(identifier) if isinstance(identifier, str) else identifier
-    digest = F.md5(F.concat(column.cast("string"), F.lit(f"-{seed}")))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    return F.md5(F.concat(column.cast("string"), F.lit(f"-{seed}")))
+
+
+def id_number(identifier: Column | str, seed: int = 42) -> Column:
+    """The first 60 bits of ``id_digest`` as a number."""
+    return F.conv(F.substring(id_digest(identifier, seed), 1, 15), 16, 10).cast("long")
 
 
 def smallest_share(
-    df: DataFrame, label: str, value: str, share: float, small: int = SMALL_ROWS
+    df: DataFrame, label: str, digest: str, share: float, small: int = SMALL_ROWS
 ) -> DataFrame:
-    """Per label, the value up to which exactly ``share`` of its rows lie.
+    """Per label, the digest up to which exactly ``share`` of its rows lie.
 
-    ``value`` is a uniform 60-bit number. The k-th smallest is found from the top bits down:
-    each step counts rows per label and slot (map-side combined, at most 2**16 slots per label)
-    and keeps the slot that holds the k-th row. Once that slot holds few rows its values are
-    compared directly. The table itself is only scanned, never sorted or moved.
+    The k-th smallest digest is found prefix by prefix: each step counts rows per label and
+    prefix (map-side combined, at most 16**4 new prefixes per label) and keeps the prefix that
+    holds the k-th row. Once that prefix holds few rows their digests are compared directly.
+    The table itself is only scanned, never sorted or moved.
     """
     of_label = Window.partitionBy(label)
-    known = df.dropna(subset=[label]).select(label, F.col(value).alias("_value"))
-    shift, parent, found = 44, None, None
+    known = df.dropna(subset=[label]).select(label, F.col(digest).alias("_digest"))
+    length, parent, found = 4, None, None
     while True:
-        slots = known.withColumn("_slot", F.shiftright("_value", shift))
+        slots = known.withColumn("_slot", F.substring("_digest", 1, length))
         if found is None:
             counts = slots.groupBy(label, "_slot").agg(F.count(F.lit(1)).alias("_n"))
             counts = counts.withColumn("k", F.bround(F.sum("_n").over(of_label) * share).cast("long"))
         else:
-            inside = slots.withColumn("slot", F.shiftright("_value", parent)).join(found, [label, "slot"])
+            inside = slots.withColumn("slot", F.substring("_digest", 1, parent)).join(found, [label, "slot"])
             counts = inside.groupBy(label, "k", "_slot").agg(F.count(F.lit(1)).alias("_n"))
         earlier = F.sum("_n").over(of_label.orderBy("_slot").rowsBetween(*_BEFORE))
         rest = F.col("k") - F.col("_earlier")
@@ -99,8 +108,8 @@ def smallest_share(
             .select(label, rest.alias("k"), F.col("_slot").alias("slot"), "_n"),
             "share",
         )
-        if shift == 0:
+        if length == DIGEST_LENGTH:
             return kept.select(label, F.col("slot").alias("cutoff"))
         largest = kept.agg(F.max("_n")).first()[0] or 0
-        found, parent = kept.drop("_n"), shift
-        shift = 0 if largest <= small else max(shift - 16, 0)
+        found, parent = kept.drop("_n"), length
+        length = DIGEST_LENGTH if largest <= small else min(length + 4, DIGEST_LENGTH)

@@ -10,7 +10,7 @@ from apronflow.models.training import stratified_split
 from apronflow.operators.expand import expand_baggage, expand_passengers, number_passengers
 from apronflow.operators.prepare import dedupe_first, impute_median
 from apronflow.operators.quantiles import exact_quantiles, sketched_quantiles
-from apronflow.operators.ranking import id_hash, number_rows, prefix_sum, smallest_share
+from apronflow.operators.ranking import id_digest, number_rows, prefix_sum, smallest_share
 
 
 @pytest.fixture(scope="module")
@@ -90,7 +90,7 @@ def test_stratified_split_is_exact_per_class(skewed):
 @pytest.mark.parametrize("small", [0, 3, 10**6])
 def test_smallest_share_at_every_depth(skewed, small):
     df, rows = skewed
-    hashed = df.withColumn("h", id_hash("id")).cache()
+    hashed = df.withColumn("h", id_digest("id")).cache()
     values = {}
     for r in hashed.collect():
         values.setdefault(r.key, []).append(r.h)
