@@ -58,6 +58,17 @@ def split_marked(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def training_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The needed columns as a written table.
+
+    Training passes over its rows many times, and after a lost executor they are read again
+    instead of joined again. A table of few files is spread over all cores.
+    """
+    table = materialize(df.select(*dict.fromkeys(columns)), "training")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def _assembled(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features")
 
@@ -68,7 +79,8 @@ def train_delay_regressor(
     forest = RandomForestRegressor(
         featuresCol="features", labelCol="delay_minutes", numTrees=trees, maxDepth=depth, seed=seed
     )
-    return Pipeline(stages=[_assembled(DELAY_FEATURES), forest]).fit(train)
+    rows = training_table(train, [*DELAY_FEATURES, "delay_minutes"])
+    return Pipeline(stages=[_assembled(DELAY_FEATURES), forest]).fit(rows)
 
 
 def mean_absolute_error(scored: DataFrame, label: str = "delay_minutes") -> float:
@@ -82,7 +94,8 @@ def train_delay_classifier(
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="is_delayed", numTrees=trees, maxDepth=depth, seed=seed
     )
-    return Pipeline(stages=[_assembled(WEATHER_DELAY_FEATURES), forest]).fit(train)
+    rows = training_table(train, [*WEATHER_DELAY_FEATURES, "is_delayed"])
+    return Pipeline(stages=[_assembled(WEATHER_DELAY_FEATURES), forest]).fit(rows)
 
 
 def area_under_roc(scored: DataFrame, label: str = "is_delayed") -> float:
@@ -111,7 +124,8 @@ def train_onehot_classifier(
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed
     )
-    return Pipeline(stages=[index, onehot, _assembled(onehot.getOutputCols()), forest]).fit(train)
+    rows = training_table(train, [*ONEHOT_FEATURES, label])
+    return Pipeline(stages=[index, onehot, _assembled(onehot.getOutputCols()), forest]).fit(rows)
 
 
 def train_weather_gbt(
@@ -129,7 +143,8 @@ def train_weather_gbt(
         featureSubsetStrategy="0.8",
         seed=seed,
     )
-    return Pipeline(stages=[_assembled(SENSOR_FEATURES), boosted]).fit(train)
+    rows = training_table(train, [*SENSOR_FEATURES, "is_delayed"])
+    return Pipeline(stages=[_assembled(SENSOR_FEATURES), boosted]).fit(rows)
 
 
 def balanced_weights(df: DataFrame, label: str = "risk_label") -> DataFrame:
@@ -159,7 +174,8 @@ def risk_pipeline(trees: int = 200, depth: int = 12, min_leaf: int = 5, seed: in
 
 def train_risk_classifier(train: DataFrame, **settings) -> PipelineModel:
     """LOW / MEDIUM / HIGH forest with balanced class weights."""
-    return risk_pipeline(**settings).fit(balanced_weights(train))
+    rows = training_table(balanced_weights(train), [*RISK_FEATURES, "risk_label", "weight"])
+    return risk_pipeline(**settings).fit(rows)
 
 
 def with_folds(df: DataFrame, identifier: str, folds: int = 5, seed: int = 42) -> DataFrame:
@@ -177,5 +193,6 @@ def cross_validate_f1(
         numFolds=folds,
         foldCol="fold",
     )
-    fitted = validator.fit(with_folds(balanced_weights(df), identifier, folds, seed))
+    folded = with_folds(balanced_weights(df), identifier, folds, seed)
+    fitted = validator.fit(training_table(folded, [*RISK_FEATURES, "risk_label", "weight", "fold"]))
     return fitted.avgMetrics[0], fitted.stdMetrics[0]
