@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 
 def recent(table: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest rows first (a distributed top-n, no full sort)."""
-    return table.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+    """Newest rows first.
+
+    A top-n over two columns finds the oldest wanted time; only rows from that time on are read
+    in full, and row groups before it are skipped.
+    """
+    newest = [F.desc("created_at"), F.desc("id")]
+    keys = table.select("created_at", "id").orderBy(*newest).limit(limit)
+    oldest = keys.select(F.min("created_at")).scalar()
+    return table.filter(F.col("created_at") >= oldest).orderBy(*newest).limit(limit)
 
 
 def prediction_stats(predictions: DataFrame) -> DataFrame:

@@ -15,8 +15,13 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def write_sorted(df: DataFrame, path: str, key: str, fmt: str = "parquet") -> None:
-    """Time-ordered table: ranges of ``key`` per file and sorted rows inside each file."""
-    write_clean(df.repartitionByRange(key).sortWithinPartitions(key), path, fmt)
+    """Time-ordered table: ranges of ``key`` per file and sorted rows inside each file.
+
+    The source partition is the second range key, so one time that holds very many rows is
+    cut into several files instead of one.
+    """
+    ranged = df.withColumn("_source", F.spark_partition_id()).repartitionByRange(key, "_source")
+    write_clean(ranged.sortWithinPartitions(key).drop("_source"), path, fmt)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
@@ -28,10 +33,8 @@ def write_star(tables: dict[str, DataFrame], path: str) -> None:
     """One Parquet folder per table; fact tables are partitioned by date."""
     for name, df in tables.items():
         if name.startswith("fact_"):
-            # one shuffle so that a date is a few files instead of one per task; the extra
-            # hash keeps a dominant date from landing in a single task
-            spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-            df.repartition("date", spread).write.mode("overwrite").partitionBy("date").parquet(
+            # few files per date; adaptive execution merges small dates and splits large ones
+            df.hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(
                 f"{path}/{name}"
             )
         else:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from apronflow.operators import prepare
+from apronflow.operators.gates import gate_performance
 from apronflow.plans import history, star_schema
 from apronflow.sources import readers, scratch, writers
 
@@ -117,6 +118,34 @@ def test_history_append_and_read(spark, tmp_path):
         writers.append_history(df.withColumn("created_at", F.lit(None).cast("timestamp")), "predictions", path)
 
 
+def test_recent_keeps_ties_and_order(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(days=i // 4)) for i in range(40)]
+    spark.createDataFrame(rows, "id INT, created_at TIMESTAMP").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert [r.id for r in history.recent(table, 6).collect()] == [39, 38, 37, 36, 35, 34]
+    assert history.recent(table, 99).count() == 40
+    assert history.recent(table.filter("id < 0")).count() == 0
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path, sample_flights):
+    sample_flights.write.parquet(str(tmp_path / "f"))
+    flights = spark.read.parquet(str(tmp_path / "f"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "In(airline" in plan(prepare.filter_airlines(flights, ["TunisAir", "Emirates"]))
+    assert "EqualTo(terminal,T1)" in plan(prepare.filter_terminal(flights, "T1"))
+    late = plan(flights.filter(F.col("delay_minutes") > 30).groupBy("airline").count())
+    assert "GreaterThan(delay_minutes,30.0)" in late
+    assert "ReadSchema: struct<flight_id:string,gate:string,delay_minutes:double>" in plan(gate_performance(flights))
+
+
+def test_hot_time_is_written_in_order(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 8).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 50).alias("timestamp"))
+    writers.write_sorted(df, str(tmp_path / "s"), "timestamp")
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.columns == ["timestamp"] and back.count() == 1000
+
+
 def test_history_rounds_half_up(spark):
     df = spark.createDataFrame([("A", 0.25, 1.0), ("A", 0.25, 1.0)], "airline STRING, predicted_delay DOUBLE, delay_probability DOUBLE")
     assert history.predictions_by_airline(df).first().avg_delay == 0.3
@@ -128,11 +157,12 @@ def test_alert_sink(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "a")).first().actions == ["x", "y"]
 
 
-def test_star_is_written(spark, folder, tmp_path):
+@pytest.mark.parametrize("parse_once", [True, False])
+def test_star_is_written(spark, folder, tmp_path, parse_once):
     from apronflow.catalog import views
 
     path = str(tmp_path / "star")
-    star_schema.build_star(views.flights(spark, folder), views.passenger_flow(spark, folder), path)
+    star_schema.build_star(views.flights(spark, folder), views.passenger_flow(spark, folder), path, parse_once=parse_once)
     fact = spark.read.parquet(f"{path}/fact_flights")
     assert fact.count() == 1000 and fact.select("date").distinct().count() > 5
     plan = fact.filter("date = '2024-01-02'")._jdf.queryExecution().executedPlan().toString()
