@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
+from apronflow.functions.calendar import day_name
 from apronflow.functions.columns import nan_to_null
 from apronflow.functions.risk import delay_risk
 from apronflow.operators.prepare import normalize_columns, parse_timestamp
@@ -50,21 +51,23 @@ def read_raw(spark: SparkSession, name: str, path: str, fmt: str = "csv") -> Dat
 
 
 def read_flights(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Flights with lenient timestamps, hour and day name of departure, and delay risk."""
-    df = read_table(spark, path, RAW_TABLES["flights"], fmt)
+    """Flights with lenient timestamps, hour and day name of departure, and delay risk.
+
+    The hour comes from the departure time (null where that cannot be parsed); only a table
+    without any departure time keeps the hours it was written with.
+    """
+    raw = read_table(spark, path, RAW_TABLES["flights"], fmt)
+    df = raw
     for name in ("departure_time", "arrival_time"):
         if name in df.columns:
             df = parse_timestamp(df, name)
     if "departure_time" in df.columns:
-        derived = F.hour("departure_time")
+        hour = F.hour("departure_time")
         if "departure_hour" in df.columns:
-            derived = F.coalesce(derived, F.col("departure_hour"))
-        df = df.withColumns(
-            {
-                "departure_hour": derived,
-                "departure_day": F.date_format("departure_time", "EEEE"),
-            }
-        )
+            timed = raw.filter(F.col("departure_time").isNotNull()).limit(1)
+            has_time = timed.select(F.count(F.lit(1)) > 0).scalar()
+            hour = F.when(has_time, hour).otherwise(F.col("departure_hour"))
+        df = df.withColumns({"departure_hour": hour, "departure_day": day_name("departure_time")})
     if "delay_minutes" in df.columns:
         df = df.withColumn("delay_risk", delay_risk("delay_minutes"))
     return df

@@ -29,10 +29,15 @@ def test_read_flights(spark, tmp_path):
     assert rows["F1"].departure_hour == 8 and rows["F1"].departure_day == "Saturday"
     assert rows["F1"].delay_risk == "Low" and rows["F3"].delay_risk == "High"
     assert rows["F2"].delay_minutes is None and rows["F2"].departure_time is None
-    assert rows["F2"].departure_hour == 5 and rows["F3"].departure_hour is None
+    assert rows["F2"].departure_hour is None and rows["F3"].departure_hour is None
     assert rows["F3"].extra == "z"
 
 
+def test_flights_without_any_time_keep_their_hours(spark, tmp_path):
+    path = write(tmp_path / "flights.csv", "flight_id,departure_time,departure_hour\nF1,,9\nF2,,10\n")
+    assert [r.departure_hour for r in readers.read_flights(spark, path).orderBy("flight_id").collect()] == [9, 10]
+
+
 def test_read_passenger_flow_derives_hour(spark, tmp_path):
     path = write(tmp_path / "flow.csv", "timestamp,terminal,gate,passenger_count\n2024-01-06 17:05:00,T1,G1,12\n")
     row = readers.read_passenger_flow(spark, path).first()
