@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apronflow.operators.ranking import SMALL_ROWS, prefix_sum
-from apronflow.sources.scratch import materialize
 
 
 def exact_quantiles(
@@ -28,12 +27,7 @@ def exact_quantiles(
         .groupBy(*by, "_value")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = prefix_sum(counts, ["_value"], "_n", by, "_before", small)
-    size = ranked.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    if by:
-        placed = ranked.join(materialize(size, "group-size"), by)
-    else:
-        placed = ranked.withColumn("_size", size.scalar())
+    placed = prefix_sum(counts, ["_value"], "_n", by, "_before", small, total="_size")
 
     def at(rank):
         inside = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))

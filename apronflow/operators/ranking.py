@@ -28,8 +28,10 @@ def prefix_sum(
     by: list[str] | None = None,
     name: str = "before",
     small: int = SMALL_ROWS,
+    total: str | None = None,
 ) -> DataFrame:
-    """Sum of ``weight`` over the earlier rows of the same ``by`` group.
+    """Sum of ``weight`` over the earlier rows of the same ``by`` group; ``total`` optionally
+    names a column with the group's whole sum.
 
     ``by`` (without nulls) and ``order`` together must identify a row: aggregate copies first,
     so that a value held by a third of all rows is one row here. The input is written and
@@ -39,8 +41,12 @@ def prefix_sum(
     by = by or []
     rows = materialize(df, "rows")
     if rows.count() <= small:
-        window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(*_BEFORE)
-        return rows.withColumn(name, F.coalesce(F.sum(weight).over(window), F.lit(0)))
+        group = Window.partitionBy(*(by or [F.lit(0)]))
+        before = F.sum(weight).over(group.orderBy(*order).rowsBetween(*_BEFORE))
+        columns = {name: F.coalesce(before, F.lit(0))}
+        if total:
+            columns[total] = F.sum(weight).over(group)
+        return rows.withColumns(columns)
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = rows.repartitionByRange(n, *by, *order)
@@ -48,12 +54,17 @@ def prefix_sum(
 
     keys = [*by, "_slice"]
     totals = slices.groupBy(*keys).agg(F.sum(weight).alias("_total"))
-    across = Window.partitionBy(*by).orderBy("_slice").rowsBetween(*_BEFORE)
-    starts = totals.select(*keys, F.sum("_total").over(across).alias("_start"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    starts = totals.select(
+        *keys,
+        F.sum("_total").over(group.orderBy("_slice").rowsBetween(*_BEFORE)).alias("_start"),
+        F.sum("_total").over(group).alias("_all"),
+    )
 
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_BEFORE)
-    total = F.coalesce("_start", F.lit(0)) + F.coalesce(F.sum(weight).over(inside), F.lit(0))
-    return slices.join(starts, keys).select(*df.columns, total.alias(name))
+    before = F.coalesce("_start", F.lit(0)) + F.coalesce(F.sum(weight).over(inside), F.lit(0))
+    extra = [F.col("_all").alias(total)] if total else []
+    return slices.join(starts, keys).select(*df.columns, before.alias(name), *extra)
 
 
 def number_rows(
