@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 BATCH = 256
 KEPT = 400_000
+HEADS = (9, 7, 5)
 
 
 class Vocabulary:
@@ -31,9 +32,11 @@ class Vocabulary:
         pairs = (line.split() for line in file.splitlines() if line)
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.tokens = dict(zip(self.ranks.values(), self.ranks))
+        self.sizes = {i: len(token) for i, token in self.tokens.items()}
         self.longest = max(map(len, self.ranks))
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
+        self.heads: dict[bytes, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """BPE as defined: merge the neighbours of lowest rank, the leftmost first."""
@@ -62,6 +65,26 @@ class Vocabulary:
             found = self.alone[token] = self.merge(self.tokens[token]) == [token]
         return found
 
+    def extend(self, data: bytes, last: list[int], stop: int) -> None:
+        """Add the last tokens of the next prefixes of ``data``, up to ``stop`` bytes."""
+        rank, pair, alone = self.ranks.get, self.pairs.get, self.alone.get
+        for end in range(len(last), stop + 1):
+            for start in range(max(0, end - self.longest), end):
+                token = rank(data[start:end])
+                if token is None:
+                    continue
+                if start:
+                    ok = pair((last[start], token))
+                    if ok is None:
+                        ok = self.valid(last[start], token)
+                else:
+                    ok = True
+                if ok and (alone(token) or self.whole(token)):
+                    last.append(token)
+                    break
+            else:
+                raise ValueError("a byte is missing in the vocabulary")
+
 
 class Prefixes:
     """The last token of every prefix of a byte string, which can grow and be edited."""
@@ -70,18 +93,9 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
-    def _token(self, end: int) -> int:
-        v, data, last = self.vocabulary, self.data, self.last
-        for size in range(min(end, v.longest), 0, -1):
-            token = v.ranks.get(data[end - size : end])
-            if token is not None and v.whole(token) and (size == end or v.valid(last[end - size], token)):
-                return token
-        raise ValueError("a byte is missing in the vocabulary")
-
     def append(self, more: bytes) -> None:
         self.data += more
-        for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self._token(end))
+        self.vocabulary.extend(self.data, self.last, len(self.data))
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in place of data[start:stop]; returns how many prefixes were redone."""
@@ -90,7 +104,7 @@ class Prefixes:
         self.last = old[: start + 1]
         same = 0
         for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._token(end))
+            self.vocabulary.extend(self.data, self.last, end)
             before = end - shift
             same = same + 1 if before > stop and old[before] == self.last[end] else 0
             if same >= self.vocabulary.longest:
@@ -99,17 +113,43 @@ class Prefixes:
         return len(self.data) - start
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.tokens[self.last[end]])
-        return out[::-1]
+        return _read(self.vocabulary, self.last)
+
+
+def _read(vocabulary: Vocabulary, last: list[int]) -> list[int]:
+    """The ids from a table of last tokens, read from its end."""
+    out, end = [], len(last) - 1
+    while end:
+        token = last[end]
+        out.append(token)
+        end -= vocabulary.sizes[token]
+    return out[::-1]
 
 
 def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
-    """Ids of one match of the pattern; a match that is itself a token is that token."""
+    """Ids of one match of the pattern; a match that is itself a token is that token.
+
+    Matches that begin alike share the beginning of their tables, which is appended to.
+    """
     token = vocabulary.ranks.get(piece)
-    return [token] if token is not None else Prefixes(vocabulary, piece).ids()
+    if token is not None:
+        return [token]
+    heads = vocabulary.heads
+    for size in HEADS:
+        last = heads.get(piece[:size])
+        if last is not None:
+            last = last.copy()
+            break
+    else:
+        last = [-1]
+    begun = len(last) - 1
+    vocabulary.extend(piece, last, len(piece))
+    for size in HEADS:
+        if begun < size < len(piece):
+            if len(heads) > KEPT:
+                heads.clear()
+            heads[piece[:size]] = last[: size + 1]
+    return _read(vocabulary, last)
 
 
 def _replaced(docs: DataFrame, column: str) -> tuple[DataFrame, str]:
@@ -136,21 +176,22 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
         import regex
 
         vocabulary, matches = Vocabulary(sent.value), regex.compile(pattern)
-        known: dict[str, array] = {}
+
+        class Known(dict):
+            """Matches met by this task with their ids as bytes, started anew when full."""
+
+            def __missing__(self, word: str) -> bytes:
+                ids = array("I", encode_piece(vocabulary, word.encode("utf-8"))).tobytes()
+                if len(word) <= 64:  # longer ones hardly come back
+                    if len(self) >= KEPT:
+                        self.clear()
+                    self[word] = ids
+                return ids
+
+        known = Known()
 
         def encoded(body: str) -> bytes:
-            ids = array("I")
-            for match in matches.finditer(body):
-                word = match.group()
-                got = known.get(word)
-                if got is None:
-                    got = array("I", encode_piece(vocabulary, word.encode("utf-8")))
-                    if len(word) <= 64:  # longer ones hardly come back
-                        if len(known) >= KEPT:
-                            known.clear()
-                        known[word] = got
-                ids.extend(got)
-            return ids.tobytes()
+            return b"".join(map(known.__getitem__, matches.findall(body)))
 
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):

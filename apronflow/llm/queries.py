@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apronflow.llm import bpe, classifier, mixing, rules, simhash
+from apronflow.llm import bpe, classifier, licenses, mixing, rules, simhash, urls
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -30,6 +30,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(docs, _read(spark, sf_dir, "labels")).select("doc_id", *rules.RESULTS)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", *[c for c in licenses.NAMES if c != "spans"])
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.url_filter(pages).select("page_id", *urls.RESULTS)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,7 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op3_quality_classifier, op4_quality_rules, op9_bpe, op10_mixing)
+    for f in (op1_simhash, op3_quality_classifier, op4_quality_rules, op7_licenses, op8_url_filter, op9_bpe, op10_mixing)
 }
 
 ORACLES = {"op4_quality_rules": rules.ORACLE, "op10_mixing": mixing.ORACLE}
