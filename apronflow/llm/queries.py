@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apronflow.llm import bpe, classifier, licenses, mixing, rules, simhash, urls
+from apronflow.llm import bpe, classifier, licenses, lm, mixing, rules, simhash, urls, warc
+from apronflow.sources.scratch import scratch_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -30,6 +31,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(docs, _read(spark, sf_dir, "labels")).select("doc_id", *rules.RESULTS)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write_archives(_read(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).drop("url")
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = licenses.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return scanned.select("doc_id", *[c for c in licenses.NAMES if c != "spans"])
@@ -55,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op3_quality_classifier, op4_quality_rules, op7_licenses, op8_url_filter, op9_bpe, op10_mixing)
+    for f in (op1_simhash, op3_quality_classifier, op4_quality_rules, op5_lm_scores, op6_warc, op7_licenses, op8_url_filter, op9_bpe, op10_mixing)
 }
 
 ORACLES = {"op4_quality_rules": rules.ORACLE, "op10_mixing": mixing.ORACLE}
