@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apronflow.llm import bpe, classifier, licenses, lm, mixing, rules, simhash, urls, warc
+from apronflow.llm import bpe, classifier, licenses, lm, mixing, rules, search, simhash, urls, warc
 from apronflow.sources.scratch import scratch_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(_read(spark, sf_dir, "documents"))
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_k(docs, docs.filter("doc_id % 20 = 0"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     net = classifier.fit(docs, _read(spark, sf_dir, "labels"))
@@ -66,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op3_quality_classifier, op4_quality_rules, op5_lm_scores, op6_warc, op7_licenses, op8_url_filter, op9_bpe, op10_mixing)
+    for f in (op1_simhash, op2_top_k, op3_quality_classifier, op4_quality_rules, op5_lm_scores, op6_warc, op7_licenses, op8_url_filter, op9_bpe, op10_mixing)
 }
 
 ORACLES = {"op4_quality_rules": rules.ORACLE, "op10_mixing": mixing.ORACLE}
