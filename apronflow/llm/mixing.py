@@ -81,25 +81,25 @@ def poisson_mix(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
 
 ORACLE = f"""
-WITH sizes AS (
-  SELECT source, sum(coalesce(length(text), 0))::BIGINT AS chars FROM documents GROUP BY source
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, * FROM documents
+), sizes AS (
+  SELECT source, sum(coalesce(length(text), 0))::BIGINT AS chars FROM docs GROUP BY source
 ), rates AS (
   SELECT source, CASE WHEN chars > 0 THEN pow(chars, {ALPHA}) / sum(pow(chars, {ALPHA})) OVER () * sum(chars) OVER () / chars ELSE 1 END AS rate
   FROM sizes
-), terms AS (
-  SELECT source, rate, ceil(greatest(1, rate / {PIECE}))::INT AS pieces, rate / ceil(greatest(1, rate / {PIECE})) AS piece, unnest(range(0, 151)) AS k
-  FROM rates
+), parts AS (
+  SELECT source, rate, ceil(greatest(1, rate / {PIECE}))::INT AS pieces, rate / ceil(greatest(1, rate / {PIECE})) AS piece FROM rates
 ), cumulative AS (
-  SELECT source, rate, pieces, k,
-    sum(exp(-piece + k * ln(piece) - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS c
-  FROM terms
+  SELECT source, k, sum(exp(-piece + k * ln(piece) - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM (SELECT *, unnest(range(0, 151)) AS k FROM parts)
 ), draws AS (
-  SELECT r, doc_id, source, j, ('0x' || substr(md5('{SEED}-' || j || '-' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT / 4503599627370496.0 AS u
-  FROM (SELECT row_number() OVER () AS r, d.*, unnest(range(1, pieces + 1)) AS j
-        FROM documents d JOIN (SELECT DISTINCT source, pieces FROM terms) t ON d.source IS NOT DISTINCT FROM t.source)
+  SELECT r, d.source, rate, ('0x' || substr(md5('{SEED}-' || j || '-' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM (SELECT docs.*, rate, unnest(range(1, pieces + 1)) AS j FROM docs JOIN parts ON docs.source IS NOT DISTINCT FROM parts.source) d
 ), copies AS (
-  SELECT r, doc_id, draws.source, any_value(rate) AS rate, count(*) FILTER (c <= u) AS n
-  FROM draws JOIN cumulative ON draws.source IS NOT DISTINCT FROM cumulative.source GROUP BY ALL
+  SELECT r, any_value(rate) AS rate, count(*) FILTER (c <= u) AS n
+  FROM draws JOIN cumulative ON draws.source IS NOT DISTINCT FROM cumulative.source GROUP BY r
 )
-SELECT doc_id, source, round(rate, 6) AS rate, unnest(range(1, n + 1))::INT AS copy FROM copies
+SELECT doc_id, text, lang, source, n_chars, round(copies.rate, 6) AS rate, unnest(range(1, n + 1))::INT AS copy
+FROM copies JOIN docs USING (r)
 """

@@ -66,7 +66,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.poisson_mix(_read(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "copy")
+    return mixed.withColumn("rate", F.round("rate", 6))
 
 
 QUERIES = {
