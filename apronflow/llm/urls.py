@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from apronflow.sources.scratch import materialize
+
 # fixed values: verdict, host, path
 RULES = [
     ("allow", "org", "/"),
@@ -77,6 +79,7 @@ def model(pages: DataFrame) -> DataFrame:
     codes = pages.filter("_ruled IS NOT NULL").select((F.col("_ruled") == "allow").cast("int").alias("good"), F.expr(_codes("url")).alias("_codes"))
     places = codes.select("good", F.explode_outer(F.expr(_PLACES)).alias("place")).filter("place IS NOT NULL")
     counts = places.groupBy("place").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    counts = materialize(counts, "symbols")
     every = spark.range(SYMBOLS**3).select(F.col("id").cast("int").alias("place"))
     table = every.join(counts, "place", "left").na.fill(0, ["good", "bad"])
     table = table.withColumn("c", F.col("place") % SYMBOLS).withColumn("ab", F.expr(f"place div {SYMBOLS}")).withColumn("b", F.expr(f"place div {SYMBOLS} % {SYMBOLS}"))
