@@ -14,6 +14,7 @@ gives no bytes; ids that the vocabulary lacks are an error.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH = 256
-KEPT = 400_000
+KEPT = 1 << 17
 HEADS = (9, 7, 5)
 
 
@@ -152,27 +153,30 @@ def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
     return _read(vocabulary, last)
 
 
-def _replaced(docs: DataFrame, column: str) -> tuple[DataFrame, str]:
-    plain = docs.drop(column)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return plain, f"{fields}, {column} binary"
+def _added(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
+    plain = docs.drop(*columns)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields]
+    return plain, ", ".join(fields + [f"{c} binary" for c in columns])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``: the token ids of the whole text as little-endian 32-bit numbers.
+def _decoded(vocabulary: Vocabulary, ids: bytes | None) -> bytes:
+    return b"".join(map(vocabulary.tokens.__getitem__, array("I", ids or b"")))
+
+
+def _encode(docs: DataFrame, path: str, pattern: str, text: str, columns: list[str], keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``columns``: ``ids`` and, if named, ``decoded`` from those ids.
 
-    The vocabulary file is read by Spark on the driver and sent to the tasks: its size is that of a
+    The vocabulary file is read on the driver and sent to the tasks: its size is that of a
     vocabulary, whatever the corpus.
     """
-    spark = docs.sparkSession
     with open(path, "rb") as file:
-        sent = spark.sparkContext.broadcast(file.read())
-    plain, schema = _replaced(docs, "ids")
-    names, at = [*plain.columns, "ids"], plain.columns.index(text)
+        sent = docs.sparkSession.sparkContext.broadcast(file.read())
+    plain = docs.drop(*columns)
+    kept = [i for i, c in enumerate(plain.columns) if keep_text or c != text]
+    _, schema = _added(plain.select([f"`{plain.columns[i]}`" for i in kept]), *columns)
+    names, at = [*[plain.columns[i] for i in kept], *columns], plain.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from array import array
-
         import regex
 
         vocabulary, matches = Vocabulary(sent.value), regex.compile(pattern)
@@ -189,34 +193,42 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
                 return ids
 
         known = Known()
-
-        def encoded(body: str) -> bytes:
-            return b"".join(map(known.__getitem__, matches.findall(body)))
-
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
-                ids = [encoded(x or "") for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names)
+                ids = [b"".join(map(known.__getitem__, matches.findall(x.as_py() or ""))) for x in part.column(at)]
+                more = [pa.array(ids, pa.binary())]
+                if len(columns) > 1:
+                    more.append(pa.array([_decoded(vocabulary, x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], *more], names)
 
     return plain.mapInArrow(run, schema)
 
 
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids``: the token ids of the whole text as little-endian 32-bit numbers."""
+    return _encode(docs, path, pattern, text, ["ids"])
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` without its text, with ``ids`` and with ``decoded``, the bytes that those ids stand
+    for, in one pass: one Python worker a task, with one vocabulary."""
+    return _encode(docs, path, pattern, text, ["ids", "decoded"], keep_text=False)
+
+
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """``tokens`` with ``decoded``: the bytes that ``ids`` stand for."""
     with open(path, "rb") as file:
         sent = tokens.sparkSession.sparkContext.broadcast(file.read())
-    plain, schema = _replaced(tokens, "decoded")
+    plain, schema = _added(tokens, "decoded")
     names, at = [*plain.columns, "decoded"], plain.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from array import array
-
-        token = Vocabulary(sent.value).tokens.__getitem__
+        vocabulary = Vocabulary(sent.value)
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
-                out = [b"".join(map(token, array("I", x or b""))) for x in part.column(at).to_pylist()]
+                out = [_decoded(vocabulary, x.as_py()) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names)
 
     return plain.mapInArrow(run, schema)

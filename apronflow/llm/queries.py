@@ -59,8 +59,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = bpe.encode(docs, path, public_tokenizers.PATTERN)
-    decoded = bpe.decode(tokens.select("doc_id", "ids"), path)
+    decoded = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
     return decoded.select("doc_id", *bpe.digests(decoded))
 
 

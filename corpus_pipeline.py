@@ -43,8 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of tokens, digests of ids and of the decoded bytes, and the ids."""
     path = public_tokenizers.path(VOCABULARY)
-    tokens = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    decoded = bpe.decode(tokens.select("doc_id", "ids"), path)
+    decoded = bpe.round_trip(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
     return decoded.select("doc_id", *bpe.digests(decoded), F.col("ids"))
 
 

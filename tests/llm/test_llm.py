@@ -323,6 +323,8 @@ def test_bpe(spark, docs, rows, empty, encoding):
         assert np.frombuffer(r.ids, "<u4").tolist() == reference.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
     assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
+    apart = bpe.decode(bpe.encode(table, path, public_tokenizers.PATTERN), path).drop("text")
+    assert sorted(bpe.round_trip(table, path, public_tokenizers.PATTERN).collect(), key=str) == sorted(apart.collect(), key=str)
 
 
 def test_bpe_appends_and_edits(encoding):
