@@ -16,13 +16,15 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH = 256
-KEPT = 1 << 17
+KEPT = 1 << 20
+KEPT_HEADS = 1 << 17
 HEADS = (9, 7, 5)
 
 
@@ -147,12 +149,33 @@ def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
     vocabulary.extend(piece, last, len(piece))
     for size in HEADS:
         if begun < size < len(piece):
-            if len(heads) > KEPT:
+            if len(heads) > KEPT_HEADS:
                 heads.clear()
             heads[piece[:size]] = last[: size + 1]
     return _read(vocabulary, last)
 
 
+class Known(dict):
+    """Matches met with their ids as bytes, started anew when full."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, match: str) -> bytes:
+        ids = array("I", encode_piece(self.vocabulary, match.encode("utf-8"))).tobytes()
+        if len(match) <= 64:  # longer ones hardly come back
+            if len(self) >= KEPT:
+                self.clear()
+            self[match] = ids
+        return ids
+
+
+@lru_cache(maxsize=1)
+def _known(file: bytes) -> Known:
+    """The vocabulary and what was met of it; a Python worker that is used again goes on with it."""
+    return Known(Vocabulary(file))
+
+
 def _added(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
     plain = docs.drop(*columns)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields]
@@ -179,20 +202,8 @@ def _encode(docs: DataFrame, path: str, pattern: str, text: str, columns: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        vocabulary, matches = Vocabulary(sent.value), regex.compile(pattern)
-
-        class Known(dict):
-            """Matches met by this task with their ids as bytes, started anew when full."""
-
-            def __missing__(self, word: str) -> bytes:
-                ids = array("I", encode_piece(vocabulary, word.encode("utf-8"))).tobytes()
-                if len(word) <= 64:  # longer ones hardly come back
-                    if len(self) >= KEPT:
-                        self.clear()
-                    self[word] = ids
-                return ids
-
-        known = Known()
+        matches, known = regex.compile(pattern), _known(sent.value)
+        vocabulary = known.vocabulary
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
@@ -224,7 +235,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     names, at = [*plain.columns, "decoded"], plain.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(sent.value)
+        vocabulary = _known(sent.value).vocabulary
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
