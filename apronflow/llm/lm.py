@@ -154,7 +154,7 @@ def build_filter(counts: DataFrame, bits: int = BITS, segments: int = SEGMENTS,
     parts = spread.select("key", "n").mapInArrow(_segment_filler(bits, segments, probes, lowest), "segment int, octets binary")
     part = bits // segments // 8
     octets = np.zeros(bits // 8, dtype=np.uint8)
-    for row in parts.toLocalIterator():  # one segment at a time; all are the filter's fixed size
+    for row in parts.collect():  # together the filter's fixed size, in one job
         octets[row.segment * part : (row.segment + 1) * part] |= np.frombuffer(row.octets, dtype=np.uint8)
     return octets, lowest
 
