@@ -1,14 +1,15 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Counts of tokens and of token pairs are gathered over all training texts by 64-bit hash. The filter
-holds, for an n-gram of quantised count level q, the entries (n-gram, level) up to q; a count is read
-back by probing level after level until one is missing. Its size is fixed (``BITS``), so it can be
-sent to all workers: pairs seen once are left out, and if more entries than the filter takes remain,
-the lowest levels go too, evenly for all n-grams (what is left out is smoothed from the token's own
-probability). Pairs are smoothed by ``WEIGHT`` tokens' worth of the single-token estimate.
+Counts of tokens and of token pairs, those seen once too, are gathered over all training texts by
+64-bit hash. The filter holds, for an n-gram of quantised count level q, the entries (n-gram, level)
+up to q; a count is read back by probing level after level until one is missing. The filter lies in
+segments by hash, as many as the input's bytes ask for, and each segment is sized from its own
+entries, so what is gathered grows with the input and no n-gram is left out. Pairs are smoothed by
+``WEIGHT`` tokens' worth of the single-token estimate.
 
-The exact single-token baseline reads the counts of the most frequent tokens (at most ``HEAD``) from
-a table sent along, and those of all other tokens by a join on the token's hash.
+No filter is sent to all workers: documents are dealt into blocks by hash, each block asks every
+segment for its different n-grams at once (one row of packed keys), and the answers (levels, and
+for the single-token baseline exact token counts) come back to the block by its name.
 
 Nulls and odd rows: a null or empty text is its end token alone; a null ``doc_id`` is learned from;
 repeated rows count as often as they occur and are scored alike; other columns are left out; without
@@ -21,18 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apronflow.sources.scratch import materialize
 
-BITS = 1 << 27
+BITS = 1 << 20
 SEGMENTS = 64
+SEGMENT_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 PROBES = 4
-HEAD = 1 << 20
 WEIGHT = 4.0
 END = b""
-BATCH = 256
 KEPT = 500_000
 SEED = 42
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -102,22 +104,102 @@ def _expected(levels: np.ndarray, lowest: int) -> np.ndarray:
     return np.where(levels >= lowest, np.where(levels == 1, 1.0, 1.5 * 2.0 ** (levels - 1) - 0.5), 0.0)
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, int] = {}
-    for batch in batches:
-        for start in range(0, batch.num_rows, 4 * BATCH):
-            tokens, sizes = _hashed(batch.slice(start, 4 * BATCH).column(0).to_pylist(), known)
-            end = _hashed([None], known)[0][0]
-            keys, counts = np.unique(np.concatenate([tokens, _pairs(tokens, sizes, end)[1]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
+def _ngrams(texts: list[str | None], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The different n-grams of the texts in order, each token's and each pair's place among them,
+    tokens per text, and the end token's hash."""
+    tokens, sizes = _hashed(texts, known)
+    end = _hashed([None], known)[0][0]
+    keys, which = np.unique(np.concatenate([tokens, _pairs(tokens, sizes, end)[1]]), return_inverse=True)
+    return keys, which, sizes, end
 
 
-def ngram_counts(texts: DataFrame) -> DataFrame:
-    """(key, n) over all texts; the lowest bit of a key is 0 for tokens, 1 for pairs. Written once;
-    pairs seen once are left out."""
-    each = texts.select("text").mapInArrow(_counter, "key bigint, n bigint")
-    counts = each.groupBy("key").agg(F.sum("n").alias("n"))
-    return materialize(counts.filter("n > 1 OR key & 1 = 0"), "ngrams")
+def _dealt(keys: np.ndarray, segments: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each segment with keys, and their places in ``keys`` in order."""
+    part = (keys >> np.uint64(1)) % np.uint64(segments)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(segments + 1, dtype=np.uint64))
+    for segment in range(segments):
+        if cuts[segment] < cuts[segment + 1]:
+            yield segment, order[cuts[segment] : cuts[segment + 1]]
+
+
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+def _counter(segments: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy().astype(np.int64))
+            cuts = np.flatnonzero(np.diff(ends // BLOCK_BYTES)) + 1
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if start == stop:
+                    continue
+                keys, which, _, _ = _ngrams(batch.column(0).slice(start, stop - start).to_pylist(), known)
+                counts = np.bincount(which, minlength=len(keys)).astype("<u4")
+                found = [(s, keys[at].tobytes(), counts[at].tobytes()) for s, at in _dealt(keys, segments)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int32(), pa.binary(), pa.binary()))], ["segment", "keys", "n"])
+
+    return count
+
+
+def _segment_builder(least: int, probes: int):
+    def build(rows: pa.Table) -> pa.Table:
+        keys, which = np.unique(_joined(rows["keys"], "<u8"), return_inverse=True)
+        counts = np.bincount(which, weights=_joined(rows["n"], "<u4")).astype(np.int64)
+        top = _levels(counts)
+        bits = -(-max(least, int(np.ceil(top.sum() * probes / np.log(2)))) // 64) * 64
+        held = np.zeros(bits, dtype=bool)
+        for level in range(1, int(top.max()) + 1):
+            chosen = keys[top >= level]
+            for probe in range(probes):
+                held[positions(chosen, level, probe, bits, 1)] = True
+        token = keys & np.uint64(1) == 0
+        return pa.table({
+            "segment": rows["segment"][:1],
+            "octets": [np.packbits(held, bitorder="little").tobytes()],
+            "tokens": [keys[token].tobytes()],
+            "counts": [counts[token].tobytes()],
+            "n": [int(counts[token].sum())],
+            "v": [int(token.sum())],
+            "entries": [int(top.sum())],
+        })
+
+    return build
+
+
+def build_segments(texts: DataFrame, segments: int, bits: int = BITS, probes: int = PROBES) -> DataFrame:
+    """The filter by segment: octets, exact counts of the tokens in it, and their sums. A segment
+    takes the room of its own entries, and its share of ``bits`` at least. Written once."""
+    each = texts.select("text").mapInArrow(_counter(segments), "segment int, keys binary, n binary")
+    fields = "segment int, octets binary, tokens binary, counts binary, n bigint, v bigint, entries bigint"
+    return materialize(each.groupBy("segment").applyInArrow(_segment_builder(bits // segments, probes), fields), "segments")
+
+
+def _answer(probes: int):
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        sizes = pc.binary_length(asked["keys"]).to_numpy().astype(np.int64) // 8
+        keys = _joined(asked["keys"], "<u8")
+        levels, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        if table.num_rows and len(keys):
+            octets = _joined(table["octets"], np.uint8)
+            levels = read_levels(keys, octets, 1, 8 * len(octets), 1, probes)
+            tokens, exact = _joined(table["tokens"], "<u8"), _joined(table["counts"], "<i8")
+            if len(tokens):
+                at = np.minimum(np.searchsorted(tokens, keys), len(tokens) - 1)
+                counts = np.where(tokens[at] == keys, exact[at], 0)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        spans = list(zip(cuts[:-1], cuts[1:]))
+        token = keys & np.uint64(1) == 0
+        return pa.table({
+            "block": asked["block"],
+            "segment": asked["segment"],
+            "levels": pa.array([levels[a:b].astype(np.int8).tobytes() for a, b in spans], pa.binary()),
+            "counts": pa.array([counts[a:b][token[a:b]].tobytes() for a, b in spans], pa.binary()),
+        })
+
+    return answer
 
 
 def _segment_filler(bits: int, segments: int, probes: int, lowest: tuple[int, int]):
@@ -142,8 +224,9 @@ def _segment_filler(bits: int, segments: int, probes: int, lowest: tuple[int, in
     return fill
 
 
-def build_filter(counts: DataFrame, bits: int = BITS, segments: int = SEGMENTS, probes: int = PROBES) -> tuple[np.ndarray, tuple[int, int]]:
-    """The filter's bytes, and the lowest levels it holds of tokens and of pairs."""
+def build_filter(counts: DataFrame, bits: int = 1 << 27, segments: int = SEGMENTS, probes: int = PROBES) -> tuple[np.ndarray, tuple[int, int]]:
+    """A filter of a given size in one piece: its bytes, and the lowest levels it holds of tokens
+    and of pairs; what doesn't fit goes. ``score`` uses ``build_segments``, which leaves out nothing."""
     level = F.floor(F.log2("n")).cast("int") + 1
     sizes = counts.groupBy((F.col("key").bitwiseAND(1)).alias("pair"), level.alias("level")).count().collect()
     lowest = (1, 2)
@@ -159,89 +242,58 @@ def build_filter(counts: DataFrame, bits: int = BITS, segments: int = SEGMENTS,
     return octets, lowest
 
 
-def score(docs: DataFrame, fold: int = 1, by: int = 5, bits: int = BITS, head: int = HEAD, weight: float = WEIGHT) -> DataFrame:
-    """Scores of all ``docs``, learned from those outside the fold."""
-    context = docs.sparkSession.sparkContext
+def score(docs: DataFrame, fold: int = 1, by: int = 5, bits: int = BITS, head: int | None = None, weight: float = WEIGHT) -> DataFrame:
+    """Scores of all ``docs``, learned from those outside the fold. ``bits`` is the filter's least
+    size; ``head`` has no effect any more: all tokens' counts are looked up alike."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    segments, blocks = SEGMENTS + size // SEGMENT_BYTES, 1 + size // BLOCK_BYTES
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % by == fold, F.lit(False))
-    marked = docs.select("doc_id", "text", out.alias("held_out"))
-    counts = ngram_counts(marked.filter(~out))
-    tokens = counts.filter("key & 1 = 0")
-    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    octets, lowest = build_filter(counts, bits)
-    # the tokens of the highest counts that are at most ``head`` in number
-    octave = F.floor(F.log2("n") * 8).cast("int")
-    room, floor = head, 1 << 30
-    for row in sorted(tokens.groupBy(octave.alias("o")).count().collect(), key=lambda r: -r.o):
-        room -= row["count"]
-        if room < 0:
-            break
-        floor = row.o
-    frequent = tokens.filter(octave >= floor).toArrow()
-    order = np.argsort(frequent["key"].to_numpy())
-    n, v = float(total.n), float(total.v)
-    sent = context.broadcast((octets, frequent["key"].to_numpy()[order], frequent["n"].to_numpy()[order]))
-    divisor = n + 0.5 * (v + 1)
-
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from uuid import uuid4
-
-        filled, head_keys, head_counts = sent.value
-        known: dict[bytes, int] = {}
-        task, row = uuid4().hex, 0
-
-        def estimate(keys: np.ndarray, low: int) -> np.ndarray:
-            return _expected(read_levels(keys, filled, low, bits, SEGMENTS, PROBES), low)
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                part = batch.slice(start, BATCH)
-                tokens, sizes = _hashed(part.column(1).to_pylist(), known)
-                before, pairs = _pairs(tokens, sizes, _hashed([None], known)[0][0])
-                kinds, which = np.unique(tokens, return_inverse=True)
-                starts = np.cumsum(sizes) - sizes
-                # the model: estimated counts
-                single = estimate(kinds, lowest[0])
-                one = (single[which] + 0.5) / divisor
-                prior = estimate(np.unique(before), lowest[0])[np.searchsorted(np.unique(before), before)]
-                both = estimate(pairs, lowest[1])
-                model = np.log10((both + weight * one) / (np.maximum(prior, both) + weight))
-                # the baseline: exact counts of frequent tokens; others are looked up by a join
-                signed = kinds.view(np.int64)
-                at = np.minimum(np.searchsorted(head_keys, signed), max(0, len(head_keys) - 1))
-                frequent = head_keys[at] == signed if len(head_keys) else np.zeros(len(kinds), bool)
-                exact = np.where(frequent, head_counts[at], 0) if len(head_keys) else np.zeros(len(kinds))
-                base = np.where(frequent, np.log10((exact + 0.5) / divisor), 0)[which]
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                rare = np.flatnonzero(~frequent[which])
-                rare_pairs, times = np.unique(np.stack([doc[rare], which[rare]]), axis=1, return_counts=True) if len(rare) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-                cuts = np.searchsorted(rare_pairs[0], np.arange(len(sizes) + 1)).astype(np.int32)
-                columns = [
-                    part.column(0), part.column(2),
-                    pa.array([f"{task}-{row + i}" for i in range(len(sizes))]),
-                    pa.array(sizes), pa.array(np.add.reduceat(frequent[which].astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(model, starts)),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(signed[rare_pairs[1]])),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(times.astype(np.int64))),
-                ]
-                row += len(sizes)
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "row", "n_tokens", "known", "base", "score", "rare", "times"])
-
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
+    marked = docs.select(block.alias("block"), "doc_id", "text", out.alias("held_out"))
+    tables = build_segments(docs.filter(~out), segments, bits)
+    total = tables.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    n, divisor = int(total.n), float(total.n) + 0.5 * (float(total.v) + 1)
+    known: dict[bytes, int] = {}  # each task has its own
+
+    def ask(rows: pa.Table) -> pa.Table:
+        keys = _ngrams(rows["text"].to_pylist(), known)[0]
+        found = [(s, keys[at].tobytes()) for s, at in _dealt(keys, segments)]
+        names = pa.array([rows["block"][0].as_py()] * len(found), pa.int64())
+        return pa.table([names, *(pa.array(c, k) for c, k in zip(zip(*found), (pa.int32(), pa.binary())))], ["block", "segment", "keys"])
+
+    def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, which, sizes, end = _ngrams(rows["text"].to_pylist(), known)
+        levels, exact = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        came = {s: i for i, s in enumerate(answers["segment"].to_pylist())}
+        for segment, at in _dealt(keys, segments):
+            i = came[segment]
+            levels[at] = np.frombuffer(answers["levels"][i].as_py(), np.int8)
+            exact[at[keys[at] & np.uint64(1) == 0]] = np.frombuffer(answers["counts"][i].as_py(), "<i8")
+        token, pair = which[: len(which) // 2], which[len(which) // 2 :]
+        starts = np.cumsum(sizes) - sizes
+        before = np.empty_like(token)
+        before[1:] = token[:-1]
+        before[starts] = np.searchsorted(keys, end)
+        # the model: estimated counts
+        estimate = _expected(levels, 1)
+        one, prior, both = (estimate[token] + 0.5) / divisor, estimate[before], estimate[pair]
+        model = np.log10((both + weight * one) / (np.maximum(prior, both) + weight))
+        # the baseline: exact counts
+        base = np.log10((exact + 0.5) / divisor)[token]
+        return pa.table({
+            "doc_id": rows["doc_id"],
+            "held_out": rows["held_out"],
+            "n_tokens": pa.array(sizes),
+            "n_known": pa.array(np.add.reduceat((exact > 0)[token].astype(np.int64), starts)),
+            "train_tokens": pa.array(np.full(len(sizes), n, dtype=np.int64)),
+            "base_score": pa.array(np.add.reduceat(base, starts)),
+            "score": pa.array(np.add.reduceat(model, starts)),
+        })
+
+    # the same grouped documents twice: their shuffle is used again
+    asked = marked.groupBy("block").applyInArrow(ask, "block bigint, segment int, keys binary")
+    answers = asked.groupBy("segment").cogroup(tables.select("segment", "octets", "tokens", "counts").groupBy("segment"))
+    answers = answers.applyInArrow(_answer(PROBES), "block bigint, segment int, levels binary, counts binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = f"doc_id {kind}, held_out boolean, row string, n_tokens bigint, known bigint, base double, score double, rare array<bigint>, times array<bigint>"
-    # written: the row names are drawn once and then stay
-    rows = materialize(marked.select("doc_id", "text", "held_out").mapInArrow(scores, fields), "scores")
-    others = rows.filter("size(rare) > 0").select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
-    others = others.select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    found = others.join(tokens.filter(octave < floor), "key", "left")
-    c = F.coalesce("n", F.lit(0))
-    rest = found.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(divisor))).alias("_base"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("_known"),
-    )
-    return rows.join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    fields = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return marked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, fields)

@@ -213,6 +213,38 @@ def test_lm(docs, rows, empty):
     assert lm.score(empty, bits=1 << 20).count() == 0
 
 
+def test_lm_model_holds_every_pair(spark, docs, rows):
+    """Brute-force scores; and a filter that grows with its entries, pairs seen once included."""
+    tokens = [(r[0], words(ascii_lower(r[1])) + [""]) for r in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in tokens]
+    single, pairs = collections.Counter(), collections.Counter()
+    for (_, ts), out in zip(tokens, held):
+        if not out:
+            single.update(ts)
+            pairs.update(zip(["", *ts], ts))
+    divisor = sum(single.values()) + 0.5 * (len(single) + 1)
+    about = lambda n: 0 if n == 0 else 1 if n == 1 else 1.5 * 2 ** (n.bit_length() - 1) - 0.5
+    expected = collections.defaultdict(list)
+    for i, ts in tokens:
+        total = 0
+        for a, b in zip(["", *ts], ts):
+            both = about(pairs[a, b])
+            total += math.log10((both + 4 * (about(single[b]) + 0.5) / divisor) / (max(about(single[a]), both) + 4))
+        expected[i].append(total)
+    got = collections.defaultdict(list)
+    for r in lm.score(docs, bits=1 << 26).collect():
+        got[r.doc_id].append(r.score)
+    assert got.keys() == expected.keys()
+    for i in got:
+        assert sorted(got[i]) == pytest.approx(sorted(expected[i]), rel=1e-6)
+    assert list(pairs.values()).count(1) > 20
+    once = spark.range(2000).select(F.concat_ws(" ", *[F.md5(F.concat("id", F.lit(f"-{j}"))) for j in range(20)]).alias("text"))
+    for part in (500, 2000):
+        found = lm.build_segments(once.limit(part), 8, bits=64).collect()
+        assert sum(r.entries for r in found) >= 40 * part
+        assert all(8 * len(r.octets) >= r.entries * lm.PROBES / math.log(2) for r in found)
+
+
 def test_bloom_filter_levels(spark):
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(-(1 << 63), 1 << 63, 20_000) & ~1)
