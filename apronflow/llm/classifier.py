@@ -3,8 +3,8 @@
 A text's bytes are cut into chunks that overlap by one filter width less a byte, so that every
 window of the whole text lies in exactly one chunk. Learned filters slide over the bytes; each
 chunk keeps the largest response of each filter, and the mean and the maximum over the chunks are
-combined into one probability. Training reads a bounded sample (``per_class`` labelled documents of
-each class, ``train_chunks`` evenly spaced chunks of each); scoring reads whole texts.
+combined into one probability. Training reads a sample bounded in rows (``per_class`` labelled
+documents of each class); both training and scoring read whole texts.
 
 Nulls and odd rows: a null or empty text is one chunk of padding and gets a score; a null label or a
 null ``doc_id`` is not learned from; of several labels of one document the majority holds (a tie is
@@ -14,7 +14,7 @@ repeated rows get equal scores; columns named like a result are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ CHUNK = 256
 PAD = 256
 THRESHOLD = 0.3
 PER_CLASS = 1200
-TRAIN_CHUNKS = 12
+PIECE = 512
 RESULTS = ["held_out", "score", "predicted"]
 
 
@@ -112,11 +112,6 @@ def train(samples: list[tuple[list[bytes], int]], good_share: float, epochs: int
     net = constant(0.5)
     net.filters[:, :PAD] = rng.normal(0, 0.3, (WIDTH, PAD, FILTERS))
     net.weights = rng.normal(0, 0.3, 2 * FILTERS)
-    data = np.full((sum(len(c) for c, _ in samples), CHUNK), PAD, dtype=np.int32)
-    owner = np.repeat(np.arange(len(samples)), [len(c) for c, _ in samples])
-    for row, chunk in zip(data, (c for cs, _ in samples for c in cs)):
-        row[: len(chunk)] = np.frombuffer(chunk, dtype=np.uint8)
-    first = np.searchsorted(owner, np.arange(len(samples) + 1))
     labels = np.array([y for _, y in samples], dtype=np.float64)
     prior = np.where(labels == 1, good_share / max(labels.mean(), 1e-9), (1 - good_share) / max(1 - labels.mean(), 1e-9))
     state = [[np.zeros_like(np.atleast_1d(x), dtype=np.float64) for _ in range(2)] for x in (net.filters, net.bias, net.weights, net.offset)]
@@ -125,19 +120,25 @@ def train(samples: list[tuple[list[bytes], int]], good_share: float, epochs: int
         order = rng.permutation(len(samples))
         for at in range(0, len(order), 32):
             docs = order[at : at + 32]
-            rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
-            counts = first[docs + 1] - first[docs]
+            chunks = [c for d in docs for c in samples[d][0]]
+            counts = np.array([len(samples[d][0]) for d in docs])
             begins = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            block = data[rows]
+            block = np.full((len(chunks), CHUNK), PAD, dtype=np.int16)
+            for row, chunk in zip(block, chunks):
+                row[: len(chunk)] = np.frombuffer(chunk, dtype=np.uint8)
             windows = CHUNK - WIDTH + 1
-            response = net.filters[0][block[:, :windows]]
-            for place in range(1, WIDTH):
-                response += net.filters[place][block[:, place : place + windows]]
-            # windows wholly in the padding after a text's end are no windows
-            response[block[:, :windows] == PAD] = -1e9
-            response[:, 0] = np.maximum(response[:, 0], -1e8)
-            best = response.argmax(axis=1)
-            peak = np.take_along_axis(response, best[:, None, :], axis=1)[:, 0, :] + net.bias
+            best = np.empty((len(chunks), FILTERS), dtype=np.int64)
+            peak = np.empty((len(chunks), FILTERS), dtype=np.float32)
+            for piece in range(0, len(chunks), PIECE):  # long texts expand piece by piece
+                part = block[piece : piece + PIECE]
+                response = net.filters[0][part[:, :windows]]
+                for place in range(1, WIDTH):
+                    response += net.filters[place][part[:, place : place + windows]]
+                # windows wholly in the padding after a text's end are no windows
+                response[part[:, :windows] == PAD] = -1e9
+                response[:, 0] = np.maximum(response[:, 0], -1e8)
+                best[piece : piece + PIECE] = response.argmax(axis=1)
+                peak[piece : piece + PIECE] = response.max(axis=1) + net.bias
             pooled = np.maximum(peak, 0)
             mean = np.add.reduceat(pooled, begins, axis=0) / counts[:, None]
             top = np.maximum.reduceat(pooled, begins, axis=0)
@@ -168,22 +169,18 @@ def remainder(doc_id: Column, by: int = 5) -> Column:
     return F.crc32(doc_id.cast("string")) % by
 
 
-def _cut(chunks: int) -> Callable:
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        step = CHUNK - WIDTH + 1
-        for series in texts:
-            out = []
-            for text in series:
-                data = (text or "").encode("utf-8", "surrogatepass")
-                n = max(1, -(-len(data) // step))
-                picked = sorted({round(i * (n - 1) / max(1, chunks - 1)) for i in range(chunks)}) if n > chunks else range(n)
-                out.append([data[k * step : k * step + CHUNK] for k in picked])
-            yield pd.Series(out)
-
-    return cut
+def _cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """All chunks of each text."""
+    step = CHUNK - WIDTH + 1
+    for series in texts:
+        out = []
+        for text in series:
+            data = (text or "").encode("utf-8", "surrogatepass")
+            out.append([data[k : k + CHUNK] for k in range(0, max(1, len(data)), step)])
+        yield pd.Series(out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, per_class: int = PER_CLASS, chunks: int = TRAIN_CHUNKS) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, per_class: int = PER_CLASS) -> Network:
     """Train on the labelled documents outside fold ``fold`` with the smallest hashed ids."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(remainder(F.col("doc_id")) != fold)
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
@@ -192,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, per_class: int = PER_
     picked = [known.filter(F.col("label") == y).orderBy(*by_hash).limit(per_class) for y in (0, 1)]
     # at most 2 * per_class ids: small whatever the corpus
     sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
-    cut = F.pandas_udf(_cut(chunks), "array<binary>")
+    cut = F.pandas_udf(_cut, "array<binary>")
     rows = sample.groupBy("doc_id", "label").agg(F.max("text").alias("text")).select("doc_id", "label", cut("text").alias("chunks")).collect()
     rows.sort(key=lambda r: r.doc_id)
     found = {y: [r for r in rows if r.label == y] for y in (0, 1)}

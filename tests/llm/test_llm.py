@@ -157,6 +157,25 @@ def test_classifier(spark, docs, empty, labels, folder):
     assert classifier.fit(docs, labels.filter("quality = 1")).score(["x"])[0] > 0.99
 
 
+def test_training_reads_whole_texts(spark, monkeypatch):
+    marked = PROSE * 60 + "@@@@@@ " + PROSE * 60  # the mark in one chunk of the middle
+    table = spark.createDataFrame([(2, marked), (4, LONG), (6, "short"), (7, None)], "doc_id LONG, text STRING")
+    labels = spark.createDataFrame([(2, 0), (4, 1), (6, 1), (7, 0)], "doc_id LONG, quality INT")
+    seen = []
+    monkeypatch.setattr(classifier, "train", lambda samples, share: seen.extend(samples))
+    classifier.fit(table, labels, per_class=5)
+    monkeypatch.undo()
+    step = classifier.CHUNK - classifier.WIDTH + 1
+    expected = {i: (t or "").encode() for i, t in ((2, marked), (4, LONG), (6, "short"), (7, None)) if zlib.crc32(str(i).encode()) % 5}
+    assert {2, 4} <= expected.keys()
+    assert sorted(b"".join(c[:step] for c in chunks) for chunks, _ in seen) == sorted(expected.values())
+    nets = []
+    for piece in (512, 5):
+        monkeypatch.setattr(classifier, "PIECE", piece)
+        nets.append(classifier.train(seen, 0.5, epochs=2))
+    assert (nets[0].filters == nets[1].filters).all() and (nets[0].weights == nets[1].weights).all()
+
+
 def test_scores_cover_whole_texts():
     rng = np.random.default_rng(1)
     net = classifier.constant(0.5)
