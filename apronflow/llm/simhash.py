@@ -59,16 +59,17 @@ def _fingerprinter(words: int):
             return int(ones.view(np.int64)[0])
 
         for batch in batches:
-            prints = [fingerprint(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "print"])
+            *others, texts = batch.columns
+            prints = [fingerprint(x) for x in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(prints, pa.int64())], [*batch.schema.names[:-1], "print"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, print): the 64-bit SimHash of every whole text as a signed number."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprinter(words), f"doc_id {kind}, print bigint")
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(doc_id or other ``keys``, print): the 64-bit SimHash of every whole text as a signed number."""
+    kinds = [f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys]
+    return docs.select(*keys, "text").mapInArrow(_fingerprinter(words), ", ".join([*kinds, "print bigint"]))
 
 
 def _points(prints: DataFrame, bits: int) -> DataFrame:
@@ -131,12 +132,19 @@ def near_duplicate_groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFr
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """The document with the smallest ``doc_id`` of each group, one row if its id repeats (the
-    first by its other columns); rows without an id can't be named by a group and all stay."""
-    groups = near_duplicate_groups(docs, words)
-    firsts = groups.filter("component_id = doc_id").select("doc_id").distinct()
-    found = docs.join(firsts, "doc_id", "left_semi")
-    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != "doc_id" and not kind.startswith("map")]
-    one = Window.partitionBy("doc_id").orderBy(*(others or [F.lit(0)]))
-    kept = found.withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
-    return kept.union(docs.filter("doc_id IS NULL").select(kept.columns)).select(docs.columns)
+    """One row of each group, that of the smallest ``doc_id`` (then of the smallest fingerprint and
+    digest of its columns); where an id repeats with other texts, each row counts for its own group.
+    Rows without an id all stay and stand for no group that has one with an id."""
+    hashed = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind]
+    marked = docs.withColumn("_digest", F.xxhash64(*hashed))
+    rows = materialize(fingerprints(marked.filter("doc_id IS NOT NULL"), words, ("doc_id", "_digest")), "prints")
+    # rows without an id still link those with one
+    every = rows.select("print").union(fingerprints(docs.filter("doc_id IS NULL"), words).select("print"))
+    labels = components(print_links(materialize(every.distinct(), "distinct")))
+    named = rows.join(labels.withColumnRenamed("node", "print"), "print", "left")
+    least = named.groupBy(F.coalesce("label", "print")).agg(F.min(F.struct("doc_id", "print", "_digest")).alias("x"))
+    found = marked.join(least.select("x.doc_id", "x._digest"), ["doc_id", "_digest"], "left_semi")
+    # rows alike in all columns share a digest
+    one = Window.partitionBy("doc_id", "_digest").orderBy("_digest")
+    kept = found.withColumn("_row", F.row_number().over(one)).filter("_row = 1").select(docs.columns)
+    return kept.union(docs.filter("doc_id IS NULL"))

@@ -81,6 +81,14 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicate_groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_of_each_group_where_ids_repeat(spark):
+    other = "a wholly different text about ships that sail past the harbour light at dawn with all hands on deck"
+    third = "numbers and letters make up this one and it resembles neither of the two texts that stand before it here"
+    table = spark.createDataFrame([(1, PROSE), (1, other), (0, other.upper()), (2, third), (2, PROSE), (2, third), (3, third)], "doc_id LONG, text STRING")
+    assert len({simhash_of(t) for t in (PROSE, other, third)}) == 3
+    assert sorted(map(tuple, simhash.keep_one(table).collect())) == sorted([(0, other.upper()), (1, PROSE), (2, third)])
+
+
 def test_print_links_keep_every_link(spark):
     rng = np.random.default_rng(3)
     seeds = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 40)] + [0, -1, 0x5555555555555555]
