@@ -9,7 +9,7 @@ from apronflow.catalog.metrics import stable
 from apronflow.catalog.registry import AS_OF, query
 from apronflow.catalog.views import FLIGHTS_SQL, PREDICTIONS_SQL, with_views
 from apronflow.functions.risk import is_delayed, training_risk
-from apronflow.models import evaluation, features, scoring, training
+from apronflow.models import evaluation, features, scoring, shapley, training
 from apronflow.operators import quantiles
 
 FLIGHTS = with_views(FLIGHTS_SQL)
@@ -191,14 +191,14 @@ def _risk_table(spark, d):
     return features.risk_features(_risk_input(spark, d)).dropna(subset=["risk_label"])
 
 
-def _fit_risk(spark, d, trees=40):
+def _fit_risk(spark, d, trees=200):
     train, test = training.split_marked(training.stratified_split(_risk_table(spark, d), "risk_label", "flight_id"))
     return training.train_risk_classifier(train, trees=trees), train, test
 
 
 @query()
 def train_risk_classifier(spark, d):
-    model, _, test = _fit_risk(spark, d, trees=200)
+    model, _, test = _fit_risk(spark, d)
     scored = scoring.score_risk(test, model)
     return evaluation.classification_report(scored, "risk_label", "risk_level")
 
@@ -259,14 +259,30 @@ def attribute(spark, d):
     return explained.select("flight_id", F.to_json("factors").alias("factors"))
 
 
+@query()
+def explain_delay(spark, d):
+    """Exact Shapley values of every delay prediction: base, one contribution per feature, strongest factors."""
+    model, _, _ = _fit_delay(spark, d)
+    explained = shapley.explain(_delay_table(spark, d), model, features.DELAY_FEATURES)
+    return explained.select("flight_id", "base", F.to_json("contributions").alias("contributions"), F.to_json("factors").alias("factors"))
+
+
+@query(FLIGHTS + "SELECT flight_id, 6 AS features, true AS adds_up FROM flights")
+def explanations_add_up(spark, d):
+    """Base and contributions of every flight give its prediction to 1e-9."""
+    model, _, _ = _fit_delay(spark, d)
+    scored = model.transform(_delay_table(spark, d)).select("flight_id", "prediction", *features.DELAY_FEATURES)
+    explained = shapley.explain(scored, model, features.DELAY_FEATURES)
+    total = F.aggregate("contributions", F.col("base"), lambda a, b: a + b)
+    gap = F.abs(total - F.col("prediction"))
+    return explained.select("flight_id", F.size("contributions").alias("features"), (gap < 1e-9).alias("adds_up"))
+
+
 @query()
 def top_factors(spark, d):
-    """The four strongest factors of every risk prediction, as rows."""
-    model, train, _ = _fit_risk(spark, d)
-    means = scoring.feature_means(train, features.RISK_FEATURES)
-    explained = scoring.attribute(
-        _risk_table(spark, d), model, features.RISK_FEATURES, means, 4, 3, "risk"
-    )
+    """The four strongest factors (exact Shapley values) of every risk prediction, as rows."""
+    model, _, _ = _fit_risk(spark, d)
+    explained = shapley.explain(_risk_table(spark, d), model, features.RISK_FEATURES, 4, 3, "risk")
     return explained.select("flight_id", F.posexplode("factors").alias("position", "factor")).select(
         "flight_id", "position", "factor.*"
     )
