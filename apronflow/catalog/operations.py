@@ -10,7 +10,7 @@ from apronflow.catalog.registry import AS_OF, query
 from apronflow.catalog.views import CASES_SQL, FLIGHTS_SQL, FLOW_SQL, PREDICTIONS_SQL, with_views
 from apronflow.operators import series as series_ops
 from apronflow.operators import joins
-from apronflow.plans import alerts, capacity, forecast, history, risk_scores
+from apronflow.plans import alerts, arima, capacity, forecast, history, risk_scores
 
 FLIGHTS = with_views(FLIGHTS_SQL)
 FLOW = with_views(FLOW_SQL)
@@ -213,6 +213,26 @@ def ar_forecast(spark, d):
     return stable(points, "value", "lower_bound", "upper_bound")
 
 
+@query()
+def arima_fit(spark, d):
+    """Coefficients, innovations variance and likelihood of every gate's and airline's series."""
+    f = views.flights(spark, d)
+    fits = [
+        arima.arima_fit(forecast.hourly_series(f, [key]), [key]).select(
+            F.lit(key).alias("kind"), F.col(key).alias("name"), F.to_json("phi").alias("phi"), F.to_json("theta").alias("theta"),
+            "sigma2", "css", "log_likelihood", "method",
+        )
+        for key in ("gate", "airline")
+    ]
+    return fits[0].unionByName(fits[1])
+
+
+@query()
+def arima_forecast(spark, d):
+    s = forecast.hourly_series(views.flights(spark, d), ["terminal", "airline"])
+    return arima.arima_forecast(s, 12, "Cloudy", ["terminal", "airline"])
+
+
 WARNINGS_SQL = f""", warned AS (SELECT gate, step, strftime({NOW} + to_hours(step), '%H:%M') AS time,
       round_even(value, 1) AS delay, CASE WHEN value > 60 THEN 'CRITICAL' ELSE 'HIGH' END AS level FROM ahead WHERE value > 45)"""
 

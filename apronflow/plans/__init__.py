@@ -1 +1,11 @@
-"""Multi-step jobs composed from the operators."""
+"""Multi-step jobs composed from the operators.
+
+Functions that run in Spark's Python workers travel by value, so that the workers need no copy
+of the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
