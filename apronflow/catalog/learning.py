@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from apronflow.catalog import views
@@ -9,7 +11,7 @@ from apronflow.catalog.metrics import stable
 from apronflow.catalog.registry import AS_OF, query
 from apronflow.catalog.views import FLIGHTS_SQL, PREDICTIONS_SQL, with_views
 from apronflow.functions.risk import is_delayed, training_risk
-from apronflow.models import evaluation, features, scoring, shapley, training
+from apronflow.models import boosting, evaluation, features, scoring, shapley, training
 from apronflow.operators import quantiles
 
 FLIGHTS = with_views(FLIGHTS_SQL)
@@ -127,6 +129,7 @@ def _delay_table(spark, d):
     return features.delay_features(views.flights(spark, d)).withColumn("is_delayed", is_delayed("delay_minutes"))
 
 
+@cache
 def _fit_delay(spark, d):
     table = _delay_table(spark, d)
     train, test = training.hash_split(table, "flight_id")
@@ -162,35 +165,78 @@ def train_onehot_classifier(spark, d):
     return _metric(spark, accuracy=training.accuracy(model.transform(test), "delayed"))
 
 
+@cache
 def _fit_weather(spark, d):
+    """Boosted trees at the published size (200 rounds), and the rows held out."""
     table = views.weather_observations(spark, d)
     identity = F.concat_ws("|", "temperature", "wind_speed", "rain", "humidity")
     train, test = training.hash_split(table.withColumn("id", identity), "id")
-    return training.train_weather_gbt(train, rounds=20), test
+    return boosting.train_boosted(train, features.SENSOR_FEATURES, "is_delayed", "id"), test
 
 
 @query()
 def train_weather_gbt(spark, d):
     model, test = _fit_weather(spark, d)
-    scored = model.transform(test)
-    return evaluation.classification_report(
-        scored.withColumn("guess", F.col("prediction").cast("int")), "is_delayed", "guess"
-    )
+    guess = (model.margin() > 0).cast("int")
+    return evaluation.classification_report(test.withColumn("guess", guess), "is_delayed", "guess")
+
+
+@query()
+def weather_auc(spark, d):
+    """Area under the ROC curve of the boosted trees on the rows held out."""
+    model, test = _fit_weather(spark, d)
+    return evaluation.roc_auc(test.withColumn("probability", model.probability()), "is_delayed", "probability")
+
+
+@query()
+def weather_log_loss(spark, d):
+    """Loss on the rows held out and on all rows after 0, 1, 50, 100 and 200 rounds."""
+    model, test = _fit_weather(spark, d)
+    rounds = [0, 1, 50, 100, 200]
+    tables = {"held out": test, "all": views.weather_observations(spark, d)}
+    losses = [boosting.log_loss(t, model, "is_delayed", rounds).withColumn("rows", F.lit(n)) for n, t in tables.items()]
+    return losses[0].unionByName(losses[1])
 
 
 @query()
 def score_weather(spark, d):
     model, test = _fit_weather(spark, d)
-    scored = scoring.score_weather(test, model)
+    scored = test.withColumn("delay_probability", model.probability())
     return scored.groupBy("is_delayed").agg(
         F.count(F.lit(1)).alias("rows"), F.avg("delay_probability").alias("avg_probability")
     )
 
 
+AUC_SQL = """, scored AS (SELECT airline, CAST(predicted_delay AS FLOAT) AS score, delay_minutes > 15 AS late FROM delays),
+    ranked AS (SELECT *, rank() OVER same + (count(*) OVER (PARTITION BY {by}, score) - 1) / CAST(2 AS DOUBLE) AS place
+      FROM scored WINDOW same AS (PARTITION BY {by} ORDER BY score)),
+    totals AS (SELECT {by} AS airline, count(*) FILTER (late) AS positives, count(*) FILTER (NOT late) AS negatives,
+      sum(place) FILTER (late) AS places FROM ranked GROUP BY {by})
+    SELECT {shown} positives, negatives, CAST(CAST((places - CAST(positives AS DOUBLE) * (positives + 1) / 2)
+      / (CAST(positives AS DOUBLE) * negatives) AS FLOAT) AS DOUBLE) AS auc FROM totals"""
+
+
+def _late_predictions(spark, d):
+    late = views.flights(spark, d).select("seq", is_delayed("delay_minutes").alias("late"))
+    guessed = views.predictions(spark, d).select(F.col("id").alias("seq"), "airline", F.col("predicted_delay").cast("float").alias("score"))
+    return late.join(guessed, "seq")
+
+
+@query(with_views(FLIGHTS_SQL, PREDICTIONS_SQL) + AUC_SQL.format(by="true", shown=""))
+def roc_auc(spark, d):
+    return stable(evaluation.roc_auc(_late_predictions(spark, d), "late", "score"), "auc")
+
+
+@query(with_views(FLIGHTS_SQL, PREDICTIONS_SQL) + AUC_SQL.format(by="airline", shown="airline,"))
+def roc_auc_by_airline(spark, d):
+    return stable(evaluation.roc_auc(_late_predictions(spark, d), "late", "score", ["airline"]), "auc")
+
+
 def _risk_table(spark, d):
     return features.risk_features(_risk_input(spark, d)).dropna(subset=["risk_label"])
 
 
+@cache
 def _fit_risk(spark, d, trees=200):
     train, test = training.split_marked(training.stratified_split(_risk_table(spark, d), "risk_label", "flight_id"))
     return training.train_risk_classifier(train, trees=trees), train, test
@@ -203,9 +249,14 @@ def train_risk_classifier(spark, d):
     return evaluation.classification_report(scored, "risk_label", "risk_level")
 
 
+@cache
+def _cross_validated(spark, d):
+    return training.cross_validate_f1(_risk_table(spark, d), "flight_id")
+
+
 @query()
 def cross_validate_f1(spark, d):
-    mean, std = training.cross_validate_f1(_risk_table(spark, d), "flight_id", trees=20)
+    mean, std = _cross_validated(spark, d)
     return _metric(spark, f1_mean=mean, f1_std=std)
 
 
@@ -219,7 +270,7 @@ def feature_importances(spark, d):
 def model_summary(spark, d):
     model, train, test = _fit_risk(spark, d)
     return evaluation.model_summary(
-        spark, model, features.RISK_FEATURES, AS_OF, model.stages[0].labels, None, train.count(), test.count()
+        spark, model, features.RISK_FEATURES, AS_OF, model.stages[0].labels, _cross_validated(spark, d), train.count(), test.count()
     )
 
 

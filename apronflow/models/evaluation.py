@@ -8,6 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from apronflow.operators.ranking import prefix_sum
+
 
 def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """precision, recall, f1 and support per class, then accuracy, macro and weighted means.
@@ -54,6 +56,32 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     return scored.select("class", *figures, "support").unionByName(summary)
 
 
+def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """``by``, positives, negatives and the exact area under the ROC curve of ``score`` for a 0/1 label.
+
+    The rank statistic with average ranks for ties: rows are counted per score first, and the negatives
+    below each score come from the two-phase running total, so neither a hot score nor a hot group is
+    sorted in one task. Rows without label, score or group are left out; the area is null where one
+    class is missing. A table without rows has one row of zero counts, or none with ``by``.
+    """
+    by = by or []
+    positive = F.col(label).cast("int")
+    rows = df.select(*by, F.col(score).cast("double").alias("_score"), positive.alias("_positive")).dropna()
+    counts = rows.groupBy(*by, "_score").agg(
+        F.sum("_positive").cast("long").alias("_pos"), F.sum(1 - F.col("_positive")).cast("long").alias("_neg")
+    )
+    below = prefix_sum(counts, ["_score"], "_neg", by, name="_below")
+    # twice the pairs a positive wins, as whole numbers of any size
+    pairs = F.col("_pos").cast("decimal(18,0)") * (2 * F.col("_below") + F.col("_neg")).cast("decimal(19,0)")
+    totals = below.groupBy(*by).agg(
+        F.coalesce(F.sum("_pos"), F.lit(0)).alias("positives"),
+        F.coalesce(F.sum("_neg"), F.lit(0)).alias("negatives"),
+        F.sum(pairs).cast("double").alias("_won"),
+    )
+    possible = 2.0 * F.col("positives").cast("double") * F.col("negatives").cast("double")
+    return totals.select(*by, "positives", "negatives", F.try_divide(F.col("_won"), possible).alias("auc"))
+
+
 def feature_importances(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:
     """Importance per feature, largest first (a handful of numbers held by the model)."""
     values = model.stages[-1].featureImportances.toArray()
