@@ -2,46 +2,72 @@
 
 Features are cut at approximate quantiles once. Rows of equal bins are counted into one row per sampling
 group, so the table that is passed over holds at most (bins per feature)**features x ``GROUPS`` rows, however
-many were read. Each level of a tree is one aggregation: gradients and Hessians are summed per node,
-feature and bin, combined on the map side, and only these sums (bounded by the depth, features and bins)
-reach the driver, which picks the splits of largest gain. A tree draws its columns and its sampling
-groups of rows anew. Trees are applied as native expressions.
+many were read. It is kept in blocks of arrays. Each level of a tree is one aggregation: gradients and
+Hessians are summed per node, feature and bin, combined in each task and then in a tree of tasks, and
+only these sums (bounded by the depth, features and bins) reach the driver, which picks the splits of
+largest gain. A tree draws its columns and its sampling groups of rows anew. A finished model scores
+Arrow batches of rows, all rows of a batch at once.
 """
 
 from __future__ import annotations
 
 import json
 import random
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apronflow.models.shapley import NODES
 from apronflow.models.training import training_table
 from apronflow.operators.ranking import id_number
-from apronflow.sources.scratch import materialize
+from apronflow.sources.scratch import materialize, use_checkpoint_folder
 
 # hash groups of rows; a tree samples whole groups
 GROUPS = 20
-# rounds whose margins are only cached, between two that are written
+# rounds whose margins are only cached, between two checkpoints
 REFRESH = 20
-
-# nodes are numbered from 1, the children of i are 2i (x <= threshold) and 2i + 1; feature -1 is a leaf
-TREE = "feature ARRAY<INT>, cut ARRAY<INT>, threshold ARRAY<DOUBLE>, value ARRAY<DOUBLE>, cover ARRAY<DOUBLE>"
-
+# tasks whose sums are added up on the driver; those of more tasks are combined first
+DIRECT = 64
 
 @dataclass
 class BoostedTrees:
+    """Nodes of a tree are numbered from 1, the children of i are 2i (x <= threshold) and 2i + 1; feature
+    -1 is a leaf."""
+
     features: list[str]
     depth: int
     trees: list[dict[str, list]] = field(default_factory=list)
 
+    def margins(self, rounds: list[int]) -> Column:
+        """Array of the summed outputs of the first so many trees; null and NaN go above every threshold."""
+        last = max(rounds, default=0)
+        feature, threshold, value = (np.array([t[c] for t in self.trees[:last]]) for c in ("feature", "threshold", "value"))
+        depth = self.depth
+
+        def summed(*columns: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(dtype=np.float64, na_value=np.nan) for c in columns])
+            x[np.isnan(x)] = np.inf
+            row, total = np.arange(len(x)), np.zeros(len(x))
+            sums = [total]
+            for t in range(len(feature)):
+                node = np.ones(len(x), np.int64)
+                for _ in range(depth):
+                    f = feature[t][node]
+                    node = np.where(f < 0, node, 2 * node + (x[row, f] > threshold[t][node]))
+                total = total + value[t][node]
+                sums.append(total)
+            return pd.Series(list(np.column_stack([sums[min(r, len(feature))] for r in rounds])))
+
+        return F.pandas_udf(summed, "array<double>")(*[F.col(f).cast("double") for f in self.features])
+
     def margin(self, rounds: int | None = None) -> Column:
-        """The summed outputs of the first ``rounds`` trees; null and NaN go above every threshold."""
-        values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("inf"))) for f in self.features])
-        return _applied(self.trees[:rounds], self.depth, values, "threshold")
+        return self.margins([len(self.trees) if rounds is None else rounds])[0]
 
     def probability(self, rounds: int | None = None) -> Column:
         return 1 / (1 + F.exp(-self.margin(rounds)))
@@ -57,24 +83,6 @@ class BoostedTrees:
         return spark.createDataFrame(rows, NODES)
 
 
-def _applied(trees: list[dict[str, list]], depth: int, values: Column, bound: str) -> Column:
-    """Sum of the leaf values of all trees, as one expression over a constant."""
-    if not trees:
-        return F.lit(0.0)
-    # one constant text instead of a literal per node
-    forest = F.from_json(F.lit(json.dumps(trees)), f"ARRAY<STRUCT<{TREE.replace(' ARRAY', ': ARRAY')}>>")
-
-    def leaf(tree: Column) -> Column:
-        def down(node: Column, _: Column) -> Column:
-            feature = tree["feature"][node]
-            side = F.when(F.get(values, feature) > tree[bound][node], 1).otherwise(0)
-            return F.when(feature < 0, node).otherwise(2 * node + side).cast("int")
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), down)
-
-    return F.aggregate(forest, F.lit(0.0), lambda total, tree: total + tree["value"][leaf(tree)])
-
-
 def _edges(df: DataFrame, features: list[str], bins: int) -> list[list[float]]:
     """At most ``bins`` - 1 cut points per feature: approximate quantiles of its known values."""
     shares = [i / bins for i in range(1, bins)]
@@ -112,37 +120,70 @@ def best_splits(g: np.ndarray, h: np.ndarray, l2: float, min_child: float) -> li
     return found
 
 
-def _grow(rows: DataFrame, columns: list[int], parts: list[int], edges: list[list[float]], depth: int, step: float, l2: float, min_child: float) -> dict[str, list]:
-    """One tree, level by level; ``rows`` holds codes, part, n, pos and margin."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch of binned rows as one row of packed arrays."""
+    for batch in batches:
+        if batch.num_rows:
+            codes = batch.column(0).flatten().to_numpy().astype(np.int16)
+            cells = [codes, *(batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["codes", "part", "n", "pos"])
+
+
+def _block(row, width: int) -> dict[str, np.ndarray]:
+    part, n, pos = (np.frombuffer(row[i]) for i in (1, 2, 3))
+    return {"codes": np.frombuffer(row[0], np.int16).reshape(-1, width), "part": part, "n": n, "pos": pos, "margin": np.zeros(len(n))}
+
+
+def _nodes_of(tree: dict[str, np.ndarray], depth: int, codes: np.ndarray) -> np.ndarray:
+    """The node each row has reached after ``depth`` levels."""
+    node, row = np.ones(len(codes), np.int64), np.arange(len(codes))
+    for _ in range(depth):
+        feature = tree["feature"][node]
+        node = np.where(feature < 0, node, 2 * node + (codes[row, feature] > tree["cut"][node]))
+    return node
+
+
+def _moved(block: dict[str, np.ndarray], tree: dict[str, np.ndarray], depth: int) -> dict[str, np.ndarray]:
+    return {**block, "margin": block["margin"] + tree["value"][_nodes_of(tree, depth, block["codes"])]}
+
+
+def _sums(blocks: Iterable[dict[str, np.ndarray]], tree: dict[str, np.ndarray], level: int, active: list[int], columns: list[int], parts: list[int], width: int) -> Iterator[np.ndarray]:
+    """(2 x nodes x columns x bins): gradients and Hessians of the sampled rows in the active nodes."""
+    out = np.zeros((2, len(active), len(columns), width))
+    place = np.full(len(tree["feature"]), -1)
+    place[active] = np.arange(len(active))
+    for block in blocks:
+        at = place[_nodes_of(tree, level, block["codes"])]
+        rows = np.flatnonzero(np.isin(block["part"], parts) & (at >= 0))
+        p = 1 / (1 + np.exp(-block["margin"][rows]))
+        g, h = block["n"][rows] * p - block["pos"][rows], block["n"][rows] * p * (1 - p)
+        for i, f in enumerate(columns):
+            cell = at[rows] * width + block["codes"][rows, f]
+            for side, values in enumerate((g, h)):
+                out[side, :, i] += np.bincount(cell, values, len(active) * width).reshape(-1, width)
+    yield out
+
+
+def _grow(blocks: RDD, columns: list[int], parts: list[int], edges: list[list[float]], depth: int, step: float, l2: float, min_child: float) -> dict[str, list]:
+    """One tree, level by level."""
     size = 2 ** (depth + 1)
     tree = {"feature": [-1] * size, "cut": [-1] * size, "threshold": [0.0] * size, "value": [0.0] * size, "cover": [0.0] * size}
-    p = 1 / (1 + F.exp(-F.col("margin")))
-    sampled = rows.filter(F.col("part").isin(parts)).select("codes", "n", "pos", p.alias("p"))
-    sampled = sampled.select("codes", (F.col("n") * F.col("p") - F.col("pos")).alias("g"), (F.col("n") * F.col("p") * (1 - F.col("p"))).alias("h"))
     width = max(len(edges[f]) for f in columns) + 1
     active = [1]
     for level in range(depth):
-        # only the way down is applied, with node numbers as leaf values
-        so_far = {**tree, "value": [float(i) for i in range(size)]}
-        node = _applied([so_far], level, F.col("codes"), "cut").cast("int") if level else F.lit(1)
-        placed = sampled.select(node.alias("node"), "codes", "g", "h").filter(F.col("node").isin(active))
-        cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col("codes")[f].alias("bin")) for i, f in enumerate(columns)])
-        sums = placed.select("node", "g", "h", F.inline(cells)).groupBy("node", "column", "bin").agg(F.sum("g"), F.sum("h")).collect()
-        place = {n: i for i, n in enumerate(active)}
-        g, h = np.zeros((len(active), len(columns), width)), np.zeros((len(active), len(columns), width))
-        for n, column, bin_, a, b in sums:
-            g[place[n], column, bin_], h[place[n], column, bin_] = a, b
+        so_far = _arrays(tree)
+        sums = blocks.mapPartitions(lambda rows, t=so_far, n=level, a=active: _sums(rows, t, n, a, columns, parts, width))
+        # few tasks send their sums straight to the driver
+        g, h = sums.reduce(np.add) if sums.getNumPartitions() <= DIRECT else sums.treeReduce(np.add)
         if not level:
             # the first column's bins hold every row once
             _weigh(tree, 1, g[0, 0].sum(), h[0, 0].sum(), step, l2)
         following = []
         for i, split in enumerate(best_splits(g, h, l2, min_child)):
-            if split is None:
+            if split is None or split[2] >= len(edges[columns[split[1]]]):
                 continue
             _, column, cut = split
             n, f = active[i], columns[column]
-            if cut >= len(edges[f]):
-                continue
             tree["feature"][n], tree["cut"][n], tree["threshold"][n] = f, cut, edges[f][cut]
             _weigh(tree, 2 * n, g[i, column, : cut + 1].sum(), h[i, column, : cut + 1].sum(), step, l2)
             _weigh(tree, 2 * n + 1, g[i, column, cut + 1 :].sum(), h[i, column, cut + 1 :].sum(), step, l2)
@@ -153,6 +194,10 @@ def _grow(rows: DataFrame, columns: list[int], parts: list[int], edges: list[lis
     return tree
 
 
+def _arrays(tree: dict[str, list]) -> dict[str, np.ndarray]:
+    return {k: np.array(tree[k]) for k in ("feature", "cut", "value")}
+
+
 def _weigh(tree: dict[str, list], node: int, g: float, h: float, step: float, l2: float) -> None:
     tree["value"][node], tree["cover"][node] = float(-step * g / (h + l2)), float(h)
 
@@ -168,27 +213,28 @@ def train_boosted(
     """
     known = training_table(df.filter(F.col(label).isNotNull()), [*features, label, identifier])
     edges = _edges(known, features, bins)
-    rows = _binned(known, features, label, identifier, edges, seed).withColumn("margin", F.lit(0.0))
+    rows = materialize(_binned(known, features, label, identifier, edges, seed), "binned")
+    use_checkpoint_folder(df.sparkSession)
     rng = random.Random(seed)
     model = BoostedTrees(features, depth)
     columns, parts = max(1, int(column_share * len(features))), max(1, round(row_share * GROUPS))
-    cached: DataFrame | None = None
+    held: list[RDD] = []
+    packed = rows.select("codes", "part", "n", "pos").mapInArrow(_packed, "codes binary, part binary, n binary, pos binary")
+    blocks = packed.rdd.map(lambda row, k=len(features): _block(row, k)).persist(StorageLevel.MEMORY_AND_DISK)
     for r in range(rounds):
-        if r:
-            # each tree is applied once, onto the margins of the round before
-            summed = F.col("margin") + _applied(model.trees[-1:], depth, F.col("codes"), "cut")
-            rows = rows.withColumn("margin", summed)
-        if r % REFRESH == 0:
-            # a written table ends the chain of cached rounds
-            rows = materialize(rows, "binned")
-        before, cached = cached, rows.persist()
-        chosen = sorted(rng.sample(range(len(features)), columns))
-        model.trees.append(_grow(cached, chosen, sorted(rng.sample(range(GROUPS), parts)), edges, depth, step, l2, min_child))
-        rows = cached
-        if before is not None:
-            before.unpersist()
-    if cached is not None:
-        cached.unpersist()
+        chosen, drawn = sorted(rng.sample(range(len(features)), columns)), sorted(rng.sample(range(GROUPS), parts))
+        model.trees.append(_grow(blocks, chosen, drawn, edges, depth, step, l2, min_child))
+        # the finished tree is applied once, onto the margins of the round before
+        before, last = blocks, _arrays(model.trees[-1])
+        blocks = before.map(lambda block, t=last: _moved(block, t, depth)).persist(StorageLevel.MEMORY_AND_DISK)
+        if r % REFRESH == REFRESH - 1:
+            blocks.checkpoint()
+            blocks.count()
+        held.append(before)
+        if len(held) > 1:
+            held.pop(0).unpersist()
+    for rest in (*held, blocks):
+        rest.unpersist()
     return model
 
 
@@ -196,5 +242,7 @@ def log_loss(df: DataFrame, model: BoostedTrees, label: str, rounds: list[int])
     """(rounds, loss): mean logistic loss after so many trees, in one pass over ``df``."""
     y = F.col(label).cast("double")
     loss = lambda m: F.log1p(F.exp(-F.abs(m))) + F.greatest(m, F.lit(0.0)) - y * m
-    means = df.filter(y.isNotNull()).agg(*[F.avg(loss(model.margin(r))).alias(f"r{r}") for r in rounds])
-    return means.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rounds"), F.col(f"r{r}").alias("loss")) for r in rounds])))
+    rows = df.filter(y.isNotNull()).select(y.alias("y"), model.margins(rounds).alias("m"))
+    y = F.col("y")
+    means = rows.agg(*[F.avg(loss(F.col("m")[i])).alias(f"r{i}") for i in range(len(rounds))])
+    return means.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rounds"), F.col(f"r{i}").alias("loss")) for i, r in enumerate(rounds)])))
