@@ -251,7 +251,7 @@ def train_risk_classifier(spark, d):
 
 @cache
 def _cross_validated(spark, d):
-    return training.cross_validate_f1(_risk_table(spark, d), "flight_id")
+    return training.cross_validate_f1(_risk_table(spark, d), "flight_id", trees=20)
 
 
 @query()

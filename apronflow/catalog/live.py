@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from apronflow.catalog import views
 from apronflow.catalog.metrics import stable
@@ -98,3 +99,26 @@ def stream_gate_load(spark, d):
     schema = rules.overused_gates(rules.gate_window_counts(views.flights(spark, d))).schema
     rows = finished(spark, lambda p, c: sinks.stream_gate_load(f, p, c, once=True), schema)
     return stable(rows.select(*schema.names), "avg_flights")
+
+
+@query(
+    with_views(FLIGHTS_SQL)
+    + """, arrivals AS (SELECT seq, departure_time, seq % 4 AS part FROM flights),
+    marks AS (SELECT part, max(max(departure_time)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 DAY AS watermark
+      FROM arrivals GROUP BY part)
+    SELECT seq, departure_time, watermark, departure_time <= watermark AS is_late FROM arrivals JOIN marks USING (part) WHERE departure_time <= watermark
+    UNION ALL SELECT seq, departure_time, NULL, false FROM arrivals JOIN marks USING (part) WHERE coalesce(departure_time > watermark, true)"""
+)
+def stream_late_rows(spark, d):
+    """All flights, arriving in four files; those behind the watermark are told apart."""
+    flights = views.flights(spark, d).select("seq", "departure_time")
+    arriving = scratch_path(spark, "arrivals")
+    for part in range(4):
+        flights.filter(F.col("seq") % 4 == part).coalesce(1).write.parquet(f"{arriving}/part={part}")
+    stream = sinks.stream_files(spark, f"{arriving}/*", flights.schema, 1)
+    path = scratch_path(spark, "late")
+    sinks.split_late(stream, "departure_time", path, scratch_path(spark, "stream-state"), "10 days", once=True).awaitTermination()
+    late = spark.read.schema(StructType([*flights.schema.fields, StructField("watermark", TimestampType())])).parquet(f"{path}/late")
+    rows = spark.read.schema(flights.schema).parquet(f"{path}/rows")
+    told = rows.select("seq", "departure_time", F.lit(None).cast("timestamp").alias("watermark"), F.lit(False).alias("is_late"))
+    return late.select(*late.columns[:3], F.lit(True).alias("is_late")).unionByName(told)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -68,6 +69,38 @@ def stream_gate_load(
     return start_batches(counts, path, checkpoint, lambda batch: overused_gates(batch, factor), once)
 
 
+def split_late(
+    stream: DataFrame, time: str, path: str, checkpoint: str, lateness: str = "1 hour", once: bool = False
+) -> StreamingQuery:
+    """Rows behind the watermark in ``path/late`` (with the watermark they missed), all others in ``path/rows``.
+
+    The watermark of a batch is the latest event time of all earlier batches minus ``lateness``, as in
+    Spark's own operators, which drop such rows and only count them. Each batch writes the latest time so
+    far to ``path/marks`` and reads that of the batch before, so a repeated batch or a restart from the
+    checkpoint splits the same rows in the same way and every row is stored once. Rows without an event
+    time are never late; before the first row nothing is.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        marks = spark.createDataFrame([], "last TIMESTAMP")
+        if batch_id:
+            marks = spark.read.schema("last TIMESTAMP").parquet(f"{path}/marks/batch_id={batch_id - 1}")
+        last = marks.select(F.max("last"))
+        marked = batch.withColumn("watermark", last.scalar() - F.expr(f"INTERVAL {lateness}")).persist()
+        try:
+            late = F.coalesce(F.col(time) <= F.col("watermark"), F.lit(False))
+            marked.filter(late).write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+            marked.filter(~late).drop("watermark").write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+            latest = marked.agg(F.max(time).cast("timestamp").alias("last")).unionByName(marks).agg(F.max("last").alias("last"))
+            latest.write.mode("overwrite").parquet(f"{path}/marks/batch_id={batch_id}")
+        finally:
+            marked.unpersist()
+
+    writer = stream.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def late_rows_dropped(query: StreamingQuery) -> int:
     """State rows that arrived behind the watermark, over the recent progress reports."""
     return sum(
