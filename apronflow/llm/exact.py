@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from apronflow.sources.scratch import materialize
 
 HEAD = 32
-# sampled keys per slice: a slice holds its share of rows within about a fifth
+# sampled keys per slice: a slice holds its share of bytes within about a fifth
 OVERSAMPLE = 32
 SEED = 42
 
@@ -48,12 +48,14 @@ def _keyed(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _splitters(docs: DataFrame, slices: int) -> list[str]:
-    """At most ``slices`` - 1 keys of about a hundred bytes, evenly spaced in a sample of about
-    ``OVERSAMPLE`` keys a slice, whatever the texts' lengths."""
+    """At most ``slices`` - 1 keys of about a hundred bytes, evenly spaced by the bytes of the texts in
+    a sample of about ``OVERSAMPLE`` keys a slice, whatever the texts' lengths."""
     share = min(1.0, OVERSAMPLE * slices / max(1, docs.count()))
-    sample = _keyed(docs.sample(share, seed=SEED), ["doc_id"]).agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    step = F.greatest(F.lit(1), F.ceil(F.size("keys") / slices)).cast("int")
-    return sample.select(F.filter("keys", lambda k, i: (i > 0) & (i % step == 0))).first()[0]
+    sample = _keyed(docs.sample(share, seed=SEED), ["doc_id"]).select("key", (F.octet_length(F.coalesce("body", F.lit(""))) + 64).alias("bytes"))
+    before = F.sum("bytes").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    part = F.floor(F.coalesce(before, F.lit(0)) * slices / F.sum("bytes").over(Window.partitionBy(F.lit(0))))
+    firsts = sample.select("key", part.alias("part")).groupBy("part").agg(F.min("key").alias("key"))
+    return sorted((r.key for r in firsts.filter("part > 0").collect()), key=lambda k: k.encode())
 
 
 def _slice(splitters: list[str]) -> tuple[Column, Column]:
