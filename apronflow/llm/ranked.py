@@ -133,15 +133,16 @@ class Postings:
         self.impact = SCALE * tf // (1000 * tf + FLAT * m[self.doc])
         self.at = np.concatenate([[0], np.cumsum(stops - starts)])
         self.key = which * self.docs + self.doc
-        # table[j][i]: the place of the largest impact among i .. i + 2**j - 1
-        self.table = [np.arange(len(chosen), dtype=np.int32)]
-        longest, width = int((stops - starts).max(initial=1)), 1
-        while 2 * width <= longest:
-            left, right = self.table[-1][:-width], self.table[-1][width:]
-            self.table.append(np.where(self.impact[right] > self.impact[left], right, left))
-            width *= 2
-        self.flat = np.concatenate(self.table)
-        self.level_at = np.concatenate([[0], np.cumsum([len(t) for t in self.table])])
+        longest, n = int((stops - starts).max(initial=1)), len(chosen)
+        sizes = [n - (1 << j) + 1 for j in range(longest.bit_length())]
+        # level j at place i: where the largest impact among i .. i + 2**j - 1 lies
+        self.level_at = np.concatenate([[0], np.cumsum(sizes)])
+        self.flat = np.empty(int(self.level_at[-1]), np.int32)
+        self.flat[:n] = np.arange(n)
+        for j in range(1, len(sizes)):
+            below = self.flat[self.level_at[j - 1] : self.level_at[j]]
+            left, right = below[: sizes[j]], below[1 << (j - 1) :]
+            self.flat[self.level_at[j] : self.level_at[j + 1]] = np.where(self.impact[right] > self.impact[left], right, left)
 
     def largest(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Where the largest impacts of the ranges lie; an empty range gives any place."""
