@@ -34,10 +34,15 @@ def _csv_schema(header: list[str], schema: StructType) -> StructType:
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv") -> DataFrame:
-    """CSV (declared types matched by header name), Parquet, ORC or JSON lines."""
+    """CSV (declared types matched by header name), Parquet, ORC or JSON lines.
+
+    All CSV files of a path must have the same header: one whose columns differ in name or order fails the
+    job, since its values would end up in other columns.
+    """
     if fmt == "csv":
         header = spark.read.option("header", True).csv(path).columns
-        df = spark.read.option("header", True).schema(_csv_schema(header, schema)).csv(path)
+        checked = spark.read.option("header", True).option("enforceSchema", False)
+        df = checked.schema(_csv_schema(header, schema)).csv(path)
     elif fmt == "json":
         df = spark.read.schema(schema).json(path)
     else:
