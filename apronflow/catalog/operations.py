@@ -411,18 +411,25 @@ def recent_alerts(spark, d):
 CASES = with_views(FLIGHTS_SQL, CASES_SQL)
 
 
-@query(
-    FLIGHTS
-    + """, counts AS (SELECT terminal, date, departure_hour, count(*) AS flights,
-      CASE terminal WHEN 'T1' THEN 8 WHEN 'T2' THEN 6 ELSE 5 END AS capacity FROM flights GROUP BY terminal, date, departure_hour)
+def load_sql(per_gate: int) -> str:
+    return FLIGHTS + f""", counts AS (SELECT terminal, date, departure_hour, count(*) AS flights,
+      {per_gate} * CASE terminal WHEN 'T1' THEN 8 WHEN 'T2' THEN 6 ELSE 5 END AS capacity FROM flights GROUP BY terminal, date, departure_hour)
     SELECT *, round_even(flights / CAST(capacity AS DOUBLE), 4) AS load,
       CASE WHEN flights / CAST(capacity AS DOUBLE) > 1 THEN 'OVERLOADED'
         WHEN flights / CAST(capacity AS DOUBLE) > CAST(0.8 AS DOUBLE) THEN 'HIGH' ELSE 'NORMAL' END AS status FROM counts"""
-)
+
+
+@query(load_sql(1))
 def terminal_hour_load(spark, d):
     return capacity.terminal_hour_load(views.flights(spark, d), per_gate=1)
 
 
+@query(load_sql(3))
+def terminal_hour_load_published(spark, d):
+    """Load at the published three flights per gate and hour."""
+    return capacity.terminal_hour_load(views.flights(spark, d))
+
+
 def _impact(spark, d):
     return capacity.case_impact(views.cases(spark, d), views.case_flights(spark, d))
 
