@@ -41,21 +41,50 @@ def write_star(tables: dict[str, DataFrame], path: str) -> None:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def append_history(df: DataFrame, table: str, path: str) -> None:
-    """Append rows to predictions, risk_events or forecast_runs in the declared column order.
-
-    ``created_at`` is required: a null fails the job.
-    """
+def _history_rows(df: DataFrame, table: str) -> DataFrame:
+    """The declared columns in order; a null ``created_at`` fails the job."""
     schema = HISTORY_TABLES[table]
     present = set(df.columns)
     required = F.coalesce("created_at", F.raise_error(F.lit("created_at is required")).cast("timestamp"))
     df = df.withColumn("created_at", required)
-    df.select(
+    return df.select(
         *[
             (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schema.fields
         ]
-    ).write.mode("append").parquet(path)
+    )
+
+
+def append_history(df: DataFrame, table: str, path: str) -> None:
+    """Append rows to predictions, risk_events or forecast_runs in the declared column order.
+
+    ``created_at`` is required: a null fails the job.
+    """
+    _history_rows(df, table).write.mode("append").parquet(path)
+
+
+def _replace_parts(df: DataFrame, part: str, path: str) -> None:
+    """Replace the partitions that ``df`` holds and leave all others.
+
+    Files are staged beside the table and moved in when the whole job has ended, so a job that fails
+    half-way changes nothing and can be run again.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+
+def load_history(df: DataFrame, table: str, path: str, batch: str) -> None:
+    """Like ``append_history``, but a load that is repeated under the same ``batch`` name replaces its
+    rows instead of adding them again. The table has a column ``batch``; a load without rows changes nothing.
+    """
+    _replace_parts(_history_rows(df, table).withColumn("batch", F.lit(batch)), "batch", path)
+
+
+def load_facts(df: DataFrame, path: str) -> None:
+    """Facts of some dates: these dates are replaced as a whole, all others stay.
+
+    Rows without a date go to a partition of their own.
+    """
+    _replace_parts(df.hint("rebalance", "date"), "date", path)
 
 
 def write_alerts(df: DataFrame, path: str) -> None:
