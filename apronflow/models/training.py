@@ -195,4 +195,4 @@ def cross_validate_f1(
     )
     folded = with_folds(balanced_weights(df), identifier, folds, seed)
     fitted = validator.fit(training_table(folded, [*RISK_FEATURES, "risk_label", "weight", "fold"]))
-    return fitted.avgMetrics[0], fitted.stdMetrics[0]
+    return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
