@@ -10,8 +10,10 @@ from apronflow.catalog import views
 from apronflow.catalog.registry import query
 from apronflow.catalog.views import BAGGAGE_SQL, FLIGHTS_SQL, FLOW_SQL, PASSENGERS_SQL, with_views
 from apronflow.functions import risk
-from apronflow.operators import dimensions, expand, gates, joins, kpis, prepare
+from apronflow.operators import dimensions, expand, gates, joins, kpis, prepare, quantiles
 from apronflow.plans import star_schema
+from apronflow.sources import writers
+from apronflow.sources.scratch import scratch_path
 
 FLIGHTS = with_views(FLIGHTS_SQL)
 FLOW = with_views(FLOW_SQL)
@@ -222,6 +224,21 @@ def gate_conflicts(spark, d):
     return gates.gate_conflicts(views.flights(spark, d))
 
 
+@query(
+    FLIGHTS
+    + """, placed AS (SELECT flight_id, gate, departure_time, CAST(floor(epoch(departure_time)) AS BIGINT) AS second,
+      row_number() OVER (ORDER BY floor(epoch(departure_time)), flight_id) AS place FROM flights),
+    near AS (SELECT f.*, e.flight_id AS earlier, f.second - e.second AS before, l.flight_id AS later, l.second - f.second AS after
+      FROM placed f ASOF LEFT JOIN placed e ON f.gate = e.gate AND f.place > e.place
+      ASOF LEFT JOIN placed l ON f.gate = l.gate AND f.place < l.place)
+    SELECT flight_id, gate, departure_time, CASE WHEN before <= 1800 THEN earlier END AS earlier_flight,
+      CASE WHEN before <= 1800 THEN before END AS earlier_seconds, CASE WHEN after <= 1800 THEN later END AS later_flight,
+      CASE WHEN after <= 1800 THEN after END AS later_seconds FROM near WHERE before <= 1800 OR after <= 1800"""
+)
+def nearest_conflicts(spark, d):
+    return gates.nearest_conflicts(views.flights(spark, d))
+
+
 @query(
     CONFLICTS_SQL
     + """SELECT gate, count(*) AS flights, count(*) FILTER (others_within > 0) AS in_conflict,
@@ -424,6 +441,20 @@ def dim_weather(spark, d):
     return dimensions.dim_weather(views.flights(spark, d))
 
 
+@query(
+    FLIGHTS
+    + """, firsts AS (SELECT date, min(seq) FILTER (date < DATE '2024-01-15') AS early, min(seq) AS first FROM flights GROUP BY date)
+    SELECT date, CAST(row_number() OVER (ORDER BY early IS NULL, coalesce(early, first), date) AS INTEGER) AS date_id FROM firsts"""
+)
+def dim_loaded_twice(spark, d):
+    """Keys of dates: loaded up to 14 January, then with all flights, then once more."""
+    flights, path = views.flights(spark, d), scratch_path(spark, "dim")
+    early = flights.filter("date < DATE '2024-01-15'")
+    for rows in (early, flights, flights):
+        dimensions.load_dim(rows, path, "date", "date_id", "seq")
+    return dimensions.stored_dim(spark, path, "date", flights.schema["date"].dataType, "date_id").drop("load")
+
+
 @query(
     FLIGHTS
     + """, span AS (SELECT min(departure_time) AS first, max(departure_time) AS last FROM flights),
@@ -509,3 +540,23 @@ def expand_baggage(spark, d):
         F.min("baggage_id").alias("first_bag"),
         F.max("passenger_id").alias("last_passenger"),
     )
+
+
+# stored sketches ---------------------------------------------------------------------------
+
+
+@query(
+    FLIGHTS
+    + """SELECT airline, quantile, count(delay_minutes) AS rows, TRUE AS within_half_percent
+    FROM flights, (VALUES ('min'), ('q1'), ('median'), ('q3'), ('max')) AS names(quantile) GROUP BY airline, quantile"""
+)
+def delay_quartiles_stored(spark, d):
+    """Quartiles from sketches stored per day, held against the exact ranks in the facts."""
+    flights, path = views.flights(spark, d), scratch_path(spark, "sketches")
+    daily = quantiles.daily_sketches(flights, "delay_minutes", ["airline"])
+    writers.load_facts(daily, path)
+    found = quantiles.merged_quantiles(spark.read.schema(daily.schema).parquet(path), kpis.QUARTILES, ["airline"])
+    errors = quantiles.rank_errors(flights, "delay_minutes", found, kpis.QUARTILES, ["airline"])
+    return errors.join(found.select("airline", "rows"), "airline").select(
+        "airline", "quantile", "rows", (F.col("rank_error") <= 0.005).alias("within_half_percent")
+    )

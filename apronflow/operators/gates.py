@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from apronflow.functions.fixed_values import GATE_RECOMMENDATION, GATE_SUGGESTION, STANDING_SUGGESTIONS
 from apronflow.functions.columns import text
+from apronflow.operators.asof import asof_join
+from apronflow.sources.scratch import materialize
 
 
 def gate_performance(flights: DataFrame, clip: bool = True) -> DataFrame:
@@ -185,3 +187,31 @@ def gate_conflict_summary(flights: DataFrame, minutes: int = 30) -> DataFrame:
             F.sum("pairs").alias("conflict_pairs"),
         )
     )
+
+
+def nearest_conflicts(flights: DataFrame, minutes: int = 30, slices: int | None = None) -> DataFrame:
+    """Flights in conflict with the nearest earlier and later conflicting flight of their gate.
+
+    Flights of a gate are ordered by departure second, then ``flight_id``; the neighbours within the
+    window are named with their distance in seconds, null where there is none. Rows without gate,
+    departure or id are left out, and repeated rows of one flight count once.
+    """
+    keyed = (
+        flights.dropna(subset=["gate", "departure_time", "flight_id"])
+        .select("flight_id", "gate", "departure_time", F.unix_timestamp("departure_time").alias("second"))
+        .dropDuplicates(["gate", "second", "flight_id"])
+    )
+    keyed = materialize(keyed, "departures")
+    near = keyed
+    for name, forward in (("earlier", False), ("later", True)):
+        near = asof_join(
+            near, keyed, ["gate"], ["second", "flight_id"], ["flight_id"], name, forward, strict=True, slices=slices
+        )
+    found = []
+    for name in ("earlier", "later"):
+        gap = F.abs(F.col("second") - F.col(f"{name}.second"))
+        close = gap <= minutes * 60
+        found.append(F.when(close, F.col(f"{name}.flight_id")).alias(f"{name}_flight"))
+        found.append(F.when(close, gap).alias(f"{name}_seconds"))
+    named = near.select("flight_id", "gate", "departure_time", *found)
+    return named.filter("earlier_flight IS NOT NULL OR later_flight IS NOT NULL")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from apronflow.operators.ranking import SMALL_ROWS, prefix_sum
 
+# size parameter of a stored sketch: rank error below 0.5 percent
+SKETCH_K = 800
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -58,3 +61,57 @@ def sketched_quantiles(
         .agg(sketch.alias("_q"))
         .select(*(by or []), *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     )
+
+
+def daily_sketches(df: DataFrame, value: str, by: list[str], day: str = "date", k: int = SKETCH_K) -> DataFrame:
+    """One mergeable quantile sketch of ``value`` per day and group: a few kilobytes however many rows.
+
+    Store it with ``load_facts``, which replaces the days it is given; null and NaN values, groups and
+    days are left out.
+    """
+    number = F.col(value).cast("double")
+    rows = df.select(day, *by, number.alias("_value")).dropna()
+    return rows.groupBy(day, *by).agg(
+        F.count(F.lit(1)).alias("rows"), F.kll_sketch_agg_double("_value", F.lit(k)).alias("sketch")
+    )
+
+
+def merged_quantiles(
+    sketches: DataFrame, probabilities: dict[str, float], by: list[str] | None = None
+) -> DataFrame:
+    """Approximate quantiles per group from stored sketches; the facts are not read again.
+
+    Sketches are merged on the map side first, so a group sends one sketch per task.
+    """
+    names = list(probabilities)
+    merged = sketches.groupBy(*(by or [])).agg(
+        F.sum("rows").alias("rows"), F.kll_merge_agg_double("sketch").alias("_sketch")
+    )
+    found = F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(float(p)) for p in probabilities.values()]))
+    return merged.withColumn("_q", found).select(
+        *(by or []), "rows", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]
+    )
+
+
+def rank_errors(df: DataFrame, value: str, quantiles: DataFrame, probabilities: dict[str, float], by: list[str]) -> DataFrame:
+    """How far each quantile's true rank share lies from its probability, per group and quantile name.
+
+    The true share is a range where rows equal the quantile; inside it the error is 0.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("_value")).dropna()
+    rows = rows.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    counts = []
+    for name in probabilities:
+        counts.append(F.sum(F.when(F.col("_value") < F.col(name), F.col("_n")).otherwise(0)).alias(f"_below_{name}"))
+        counts.append(F.sum(F.when(F.col("_value") <= F.col(name), F.col("_n")).otherwise(0)).alias(f"_to_{name}"))
+    ranked = rows.join(quantiles.select(*by, *probabilities), by).groupBy(*by).agg(F.sum("_n").alias("_all"), *counts)
+    parts = [
+        F.struct(
+            F.lit(name).alias("quantile"),
+            F.greatest(
+                F.col(f"_below_{name}") / F.col("_all") - p, p - F.col(f"_to_{name}") / F.col("_all"), F.lit(0.0)
+            ).alias("rank_error"),
+        )
+        for name, p in probabilities.items()
+    ]
+    return ranked.select(*by, F.inline(F.array(*parts)))

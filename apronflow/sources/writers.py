@@ -63,7 +63,7 @@ def append_history(df: DataFrame, table: str, path: str) -> None:
     _history_rows(df, table).write.mode("append").parquet(path)
 
 
-def _replace_parts(df: DataFrame, part: str, path: str) -> None:
+def replace_parts(df: DataFrame, part: str, path: str) -> None:
     """Replace the partitions that ``df`` holds and leave all others.
 
     Files are staged beside the table and moved in when the whole job has ended, so a job that fails
@@ -76,7 +76,7 @@ def load_history(df: DataFrame, table: str, path: str, batch: str) -> None:
     """Like ``append_history``, but a load that is repeated under the same ``batch`` name replaces its
     rows instead of adding them again. The table has a column ``batch``; a load without rows changes nothing.
     """
-    _replace_parts(_history_rows(df, table).withColumn("batch", F.lit(batch)), "batch", path)
+    replace_parts(_history_rows(df, table).withColumn("batch", F.lit(batch)), "batch", path)
 
 
 def load_facts(df: DataFrame, path: str) -> None:
@@ -84,7 +84,7 @@ def load_facts(df: DataFrame, path: str) -> None:
 
     Rows without a date go to a partition of their own.
     """
-    _replace_parts(df.hint("rebalance", "date"), "date", path)
+    replace_parts(df.hint("rebalance", "date"), "date", path)
 
 
 def write_alerts(df: DataFrame, path: str) -> None:
