@@ -9,7 +9,8 @@ copies are spread by hash and sorted by hash inside each part: a global shuffle
 Nulls and odd rows: a null source is a source of its own; a null text counts no code points but its
 document is drawn at its source's rate; a source of only empty texts has rate 1; a source without a
 given weight has weight 0 and so no copies; repeated rows are drawn alike, each on its own; a null
-``doc_id`` is drawn by its text; ``copy`` and ``rate`` replace columns of that name.
+``doc_id`` is drawn by its text; ``copy`` and ``rate`` replace columns of that name; all other columns
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from apronflow.llm.hidden import hide, show
 from apronflow.sources.scratch import materialize
 
 ALPHA = 0.5
 SEED = 17
 PIECE = 32.0
+USED = ("doc_id", "text", "source")
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, size: float = 1.0) -> DataFrame:
@@ -52,6 +55,11 @@ def uniform(seed: int, piece: str = "0") -> str:
 
 def with_copies(docs: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs`` with ``rate`` and ``copies``."""
+    return show(_drawn(hide(docs, *USED), rates, seed), docs.columns, USED, ["rate", "copies"])
+
+
+def _drawn(docs: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """Hidden ``docs`` with ``rate`` and ``copies``."""
     # per source: how many pieces, and the piece's cumulative probabilities up to the last that
     # differs from 1 (rate 32 has none beyond 150)
     pieces = F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int")
@@ -61,23 +69,21 @@ def with_copies(docs: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFram
     tables = rates.withColumn("pieces", pieces).withColumn("piece", F.col("rate") / F.col("pieces")).withColumn("table", table)
     # a written table: its size tells whether it can be sent to all tasks
     tables = materialize(tables.select(F.col("source").alias("_source"), "rate", "pieces", "table"), "rates")
-    plain = docs.drop("rate", "copies")
-    joined = plain.join(tables, F.col("source").eqNullSafe(F.col("_source")))
+    joined = docs.join(tables, F.col("source").eqNullSafe(F.col("_source")))
     draws = joined.withColumn("_draws", F.expr(f"transform(sequence(1, pieces), j -> {uniform(seed, 'j')})"))
     copies = F.expr("aggregate(_draws, 0, (n, u) -> n + size(filter(table, c -> c <= u)))")
-    return draws.select(*plain.columns, "rate", copies.alias("copies"))
+    return draws.select(*docs.columns, "rate", copies.alias("copies"))
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, size: float = 1.0, seed: int = SEED) -> DataFrame:
     """The mix: every document as often as drawn, with ``copy`` (from 1) and ``rate``, in a global
     shuffle."""
-    plain = docs.drop("copy", "rate")
-    drawn = with_copies(plain, source_rates(plain, weights, alpha, size), seed).filter("copies > 0")
+    drawn = _drawn(hide(docs, *USED), source_rates(docs, weights, alpha, size), seed).filter("copies > 0")
     copies = drawn.withColumn("copy", F.explode_outer(F.expr("sequence(1, copies)")))
     place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.xxhash64("text"), "copy")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = copies.withColumn("_place", place).repartition(n, "_place").sortWithinPartitions("_place")
-    return spread.select(*plain.columns, "copy", "rate")
+    return show(spread, docs.columns, USED, ["copy", "rate"])
 
 
 ORACLE = f"""

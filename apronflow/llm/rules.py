@@ -7,7 +7,8 @@ is the mean log ratio of its n-grams; one fixed threshold decides every text.
 
 Nulls and odd rows: a null text counts as empty; a text without n-grams scores 0; a row with a null
 ``doc_id`` is scored but never part of the target; repeated rows count as often as they occur;
-other columns pass through unless they carry the name of a result column, which replaces them.
+other columns pass through, whatever their names, unless they carry the name of a result column, which
+replaces them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from apronflow.llm.hidden import hide, show
 from apronflow.sources.scratch import materialize
 
 BUCKETS = 65_521
@@ -38,7 +40,7 @@ def words(text: Column) -> Column:
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the five counts, and the words in ``_words``.
+    """``docs`` with the five counts, and the words in ``_words``; for hidden ``docs`` (see ``judge``).
 
     A word is repeated if one of the 3-word windows that hold it occurs twice or more. Windows are
     compared by a 64-bit hash. Texts without a repeated window are told by their count of distinct
@@ -110,7 +112,7 @@ def _as_array(weights: DataFrame) -> Column:
 def judge(docs: DataFrame, weights: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``llr`` and ``kept``; no shuffle."""
     table = _as_array(weights)
-    counted = with_counts(docs.drop("base_failed", "llr", "kept"))
+    counted = with_counts(hide(docs, "text"))
     ends = F.expr(f"transform(slice(_words, 1, greatest(size(_words) - 1, 0)), w -> {_END.format('w')})")
     starts = F.expr(f"transform(slice(_words, 2, greatest(size(_words) - 1, 0)), w -> {_START.format('w')})")
     grams = F.expr(f"zip_with(_ends, _starts, (a, b) -> cast({_BUCKET.format('a', 'b')} as int))")
@@ -126,13 +128,14 @@ def judge(docs: DataFrame, weights: DataFrame, threshold: float = THRESHOLD, min
     # the id is never negative; being an id of this plan, it keeps filters on the results above the
     # counting: pushed below, they would count every word anew inside other functions
     here = F.monotonically_increasing_id() >= 0
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & here)
+    judged = scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & here)
+    return show(judged, docs.columns, ("text",), RESULTS)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Judge ``docs`` with weights from all of them, documents labelled good being the target."""
     target = labels.filter("quality = 1")
-    return judge(docs, bucket_weights(docs, target), threshold)
+    return judge(docs, bucket_weights(docs.select("doc_id", "text"), target), threshold)
 
 
 def _murmur(text: str) -> str:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apronflow.llm.components import components
+from apronflow.llm.hidden import HIDDEN, hide, show
 from apronflow.sources.scratch import materialize
 
 SHINGLE_WORDS = 3
@@ -135,8 +136,9 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """One row of each group, that of the smallest ``doc_id`` (then of the smallest fingerprint and
     digest of its columns); where an id repeats with other texts, each row counts for its own group.
     Rows without an id all stay and stand for no group that has one with an id."""
-    hashed = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind]
-    marked = docs.withColumn("_digest", F.xxhash64(*hashed))
+    used = ("doc_id", "text")
+    hashed = [c if c in used else f"{HIDDEN}.`{c}`" for c, kind in docs.dtypes if "map<" not in kind]
+    marked = hide(docs, *used).withColumn("_digest", F.xxhash64(*hashed))
     rows = materialize(fingerprints(marked.filter("doc_id IS NOT NULL"), words, ("doc_id", "_digest")), "prints")
     # rows without an id still link those with one
     every = rows.select("print").union(fingerprints(docs.filter("doc_id IS NULL"), words).select("print"))
@@ -146,5 +148,5 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     found = marked.join(least.select("x.doc_id", "x._digest"), ["doc_id", "_digest"], "left_semi")
     # rows alike in all columns share a digest
     one = Window.partitionBy("doc_id", "_digest").orderBy("_digest")
-    kept = found.withColumn("_row", F.row_number().over(one)).filter("_row = 1").select(docs.columns)
-    return kept.union(docs.filter("doc_id IS NULL"))
+    kept = found.withColumn("_row", F.row_number().over(one)).filter("_row = 1")
+    return show(kept, docs.columns, used, []).union(docs.filter("doc_id IS NULL"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from apronflow.llm.hidden import hide, show
 from apronflow.sources.scratch import materialize
 
 # fixed values: verdict, host, path
@@ -105,7 +106,7 @@ def model(pages: DataFrame) -> DataFrame:
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """``pages`` with host, path, rule, verdict and score."""
     rule, verdict = _ruled(rules)
-    ruled = with_parts(pages.drop("rule", "verdict", "score")).withColumn("rule", rule).withColumn("_ruled", verdict)
+    ruled = with_parts(hide(pages, "url")).withColumn("rule", rule).withColumn("_ruled", verdict)
     numbers = F.transform(F.array_sort(F.collect_list(F.struct("place", "weight"))), lambda x: x["weight"].cast("string"))
     text = model(ruled).agg(F.array_join(numbers, ",")).first()[0]
     table = F.split(F.lit(text), ",").cast("array<double>")
@@ -122,4 +123,4 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> D
         spread = a.spread + b.spread
         threshold = (a["mean"] * b.spread + b["mean"] * a.spread) / spread if spread else (a["mean"] + b["mean"]) / 2
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return scored.withColumn("verdict", F.coalesce("_ruled", by_model)).drop("_ruled")
+    return show(scored.withColumn("verdict", F.coalesce("_ruled", by_model)), pages.columns, ("url",), RESULTS)
