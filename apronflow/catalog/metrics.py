@@ -45,53 +45,48 @@ def terminal_summary(spark, d):
 @query(
     FLIGHTS
     + """, codes AS (SELECT airline, CAST(row_number() OVER (ORDER BY airline) - 1 AS INTEGER) AS code
-      FROM (SELECT DISTINCT airline FROM flights WHERE gate_no = 1 AND airline <> 'TunisAir'))
+      FROM (SELECT DISTINCT airline FROM flights))
     SELECT flight_id, airline, coalesce(code, 0) AS airline_code FROM flights LEFT JOIN codes USING (airline)"""
 )
 def encode(spark, d):
     f = views.flights(spark, d)
-    known = f.filter("gate_no = 1 AND airline <> 'TunisAir'")
-    return joins.encode(
-        f.select("flight_id", "airline"), dimensions.label_dim(known, "airline"), "airline", "airline_code"
-    )
+    return joins.encode(f.select("flight_id", "airline"), dimensions.label_dim(f, "airline"), "airline", "airline_code")
 
 
 @query(
     FLIGHTS
-    + """, means AS (SELECT terminal, avg(delay_minutes) AS mean FROM flights WHERE terminal <> 'T3' GROUP BY terminal)
+    + """, means AS (SELECT terminal, avg(delay_minutes) AS mean FROM flights GROUP BY terminal)
     SELECT flight_id, terminal, CAST(CAST(coalesce(mean, 20) AS FLOAT) AS DOUBLE) AS terminal_mean
     FROM flights LEFT JOIN means USING (terminal)"""
 )
 def join_group_mean(spark, d):
     f = views.flights(spark, d)
     joined = joins.join_group_mean(
-        f.select("flight_id", "terminal"), f.filter("terminal <> 'T3'"), ["terminal"], "delay_minutes", 20.0, "terminal_mean"
+        f.select("flight_id", "terminal"), f, ["terminal"], "delay_minutes", 20.0, "terminal_mean"
     )
     return stable(joined, "terminal_mean")
 
 
 @query(
     FLIGHTS
-    + """, means AS (SELECT terminal, departure_hour AS hour, avg(delay_minutes) AS value FROM flights
-      WHERE departure_hour % 4 <> 1 GROUP BY 1, 2),
+    + """, means AS (SELECT terminal, departure_hour AS hour, avg(delay_minutes) AS value FROM flights GROUP BY 1, 2),
     grid AS (SELECT terminal, CAST(h AS INTEGER) AS hour FROM (SELECT DISTINCT terminal FROM means), range(24) AS r(h))
     SELECT terminal, hour, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM grid LEFT JOIN means USING (terminal, hour)"""
 )
 def reindex_hours(spark, d):
-    f = views.flights(spark, d).filter("departure_hour % 4 <> 1")
+    f = views.flights(spark, d)
     means = f.groupBy("terminal", F.col("departure_hour").alias("hour")).agg(F.avg("delay_minutes").alias("value"))
     return stable(joins.reindex_hours(means, "hour", "value", ["terminal"]), "value")
 
 
 @query(
     FLIGHTS
-    + """, means AS (SELECT day_of_week, avg(delay_minutes) AS value FROM flights
-      WHERE day_of_week NOT IN ('Tue', 'Sun') GROUP BY 1),
+    + """, means AS (SELECT day_of_week, avg(delay_minutes) AS value FROM flights GROUP BY 1),
     grid AS (SELECT * FROM (VALUES (0,'Mon'),(1,'Tue'),(2,'Wed'),(3,'Thu'),(4,'Fri'),(5,'Sat'),(6,'Sun')) AS t(day_no, day_of_week))
     SELECT day_no, day_of_week, CAST(CAST(coalesce(value, 25) AS FLOAT) AS DOUBLE) AS value FROM grid LEFT JOIN means USING (day_of_week)"""
 )
 def reindex_days(spark, d):
-    means = kpis.avg_delay_by(views.flights(spark, d).filter("day_of_week NOT IN ('Tue', 'Sun')"), "day_of_week")
+    means = kpis.avg_delay_by(views.flights(spark, d), "day_of_week")
     week = joins.reindex_days(means.withColumnRenamed("avg_delay", "value"), "day_of_week", "value", default=25.0)
     return stable(week, "value")
 

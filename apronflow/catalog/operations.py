@@ -40,7 +40,7 @@ def statistical_risk(spark, d):
 
 @query(
     FLIGHTS
-    + f""", means AS (SELECT terminal, avg(delay_minutes) AS mean FROM flights WHERE terminal <> 'T3' GROUP BY terminal),
+    + f""", means AS (SELECT terminal, avg(delay_minutes) AS mean FROM flights GROUP BY terminal),
     scored AS (SELECT flight_id, least(CAST(100 AS DOUBLE),
       CASE WHEN mean IS NULL THEN 30 ELSE least(CAST(100 AS DOUBLE), mean * 2) END * CAST(0.4 AS DOUBLE) + {FACTORS}
       + CASE WHEN isodow({NOW}) >= 6 THEN 40 ELSE 20 END * CAST(0.1 AS DOUBLE)) AS score
@@ -49,8 +49,7 @@ def statistical_risk(spark, d):
 )
 def operational_risk(spark, d):
     f = views.flights(spark, d)
-    known = f.filter("terminal <> 'T3'")
-    scored = risk_scores.operational_risk(f.withColumn("hour", F.col("departure_hour")), known, AS_OF.date())
+    scored = risk_scores.operational_risk(f.withColumn("hour", F.col("departure_hour")), f, AS_OF.date())
     return stable(scored.select("flight_id", "risk_score", "risk_level"), "risk_score")
 
 
@@ -68,18 +67,15 @@ def statistical_delay(spark, d):
 
 # forecasts -------------------------------------------------------------------------------
 
-# gaps at the start, in the middle and at the end of the day
-GAPS = "departure_hour BETWEEN 3 AND 21 AND departure_hour NOT IN (7, 8, 12)"
 
-
-def series_sql(by: str = "", where: str = "TRUE") -> str:
+def series_sql(by: str = "") -> str:
     """Hourly means with linear gap filling, as CTE text ending in ``series``."""
     key = f"{by}, " if by else ""
     partition = f"PARTITION BY {by} " if by else ""
     groups = f"(SELECT DISTINCT {by} FROM means)" if by else "(SELECT 1 AS one)"
     using = f"{by}, hour" if by else "hour"
     return f""",
-means AS (SELECT {key}departure_hour AS hour, avg(delay_minutes) AS value FROM flights WHERE {where} GROUP BY {key}departure_hour),
+means AS (SELECT {key}departure_hour AS hour, avg(delay_minutes) AS value FROM flights GROUP BY {key}departure_hour),
 grid AS (SELECT {key}CAST(h AS INTEGER) AS hour FROM {groups}, range(24) AS r(h)),
 gappy AS (SELECT {key}hour, value FROM grid LEFT JOIN means USING ({using})),
 sided AS (SELECT *,
@@ -95,11 +91,10 @@ series AS (SELECT {key}hour, coalesce(value,
   FROM sided)"""
 
 
-@query(FLIGHTS + series_sql("airline", GAPS) + "SELECT airline, hour, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM series")
+@query(FLIGHTS + series_sql("airline") + "SELECT airline, hour, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM series")
 def interpolate_hours(spark, d):
     means = (
         views.flights(spark, d)
-        .filter(GAPS)
         .groupBy("airline", F.col("departure_hour").alias("hour"))
         .agg(F.avg("delay_minutes").alias("value"))
     )
@@ -112,9 +107,9 @@ def hourly_series(spark, d):
     return stable(forecast.hourly_series(views.flights(spark, d)), "value")
 
 
-@query(FLIGHTS + series_sql("gate", GAPS) + "SELECT gate, hour, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM series")
+@query(FLIGHTS + series_sql("gate") + "SELECT gate, hour, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM series")
 def hourly_series_by_gate(spark, d):
-    return stable(forecast.hourly_series(views.flights(spark, d).filter(GAPS), ["gate"]), "value")
+    return stable(forecast.hourly_series(views.flights(spark, d), ["gate"]), "value")
 
 
 @query(
@@ -251,18 +246,18 @@ def peak_warnings(spark, d):
 
 @query(
     FLIGHTS
-    + series_sql("gate", "gate_no = 5 AND terminal = 'T1'")
+    + series_sql("gate")
     + trend_sql("gate", 12, 1.0)
     + WARNINGS_SQL
-    + "SELECT step, time, delay, level FROM warned ORDER BY step LIMIT 4"
+    + "SELECT gate, step, time, delay, level FROM warned QUALIFY row_number() OVER (PARTITION BY gate ORDER BY step) <= 4"
 )
 def first_warnings(spark, d):
-    s = forecast.hourly_series(views.flights(spark, d).filter("gate_no = 5 AND terminal = 'T1'"))
-    warnings = forecast.peak_warnings(forecast.trend_forecast(s), AS_OF)
-    return forecast.first_warnings(warnings).select("step", "time", "delay", "level")
+    s = forecast.hourly_series(views.flights(spark, d), ["gate"])
+    warnings = forecast.peak_warnings(forecast.trend_forecast(s, 12, "Clear", ["gate"]), AS_OF)
+    return forecast.first_warnings(warnings, 4, ["gate"]).select("gate", "step", "time", "delay", "level")
 
 
-WEEK_SQL = """, day_means AS (SELECT {key}day_of_week, avg(delay_minutes) AS value FROM flights WHERE {where} GROUP BY {key}day_of_week),
+WEEK_SQL = """, day_means AS (SELECT {key}day_of_week, avg(delay_minutes) AS value FROM flights GROUP BY {key}day_of_week),
 days AS (SELECT * FROM (VALUES (0,'Mon'),(1,'Tue'),(2,'Wed'),(3,'Thu'),(4,'Fri'),(5,'Sat'),(6,'Sun')) AS t(day_no, day_of_week)),
 week AS (SELECT {key}day_no, day_of_week, greatest(CAST(0 AS DOUBLE), coalesce(value, 25)) AS value
   FROM {grid} LEFT JOIN day_means USING ({using}))"""
@@ -270,18 +265,18 @@ week AS (SELECT {key}day_no, day_of_week, greatest(CAST(0 AS DOUBLE), coalesce(v
 
 @query(
     FLIGHTS
-    + WEEK_SQL.format(key="", where="day_of_week <> 'Wed'", grid="days", using="day_of_week")
+    + WEEK_SQL.format(key="", grid="days", using="day_of_week")
     + """SELECT day_no, day_of_week, round_even(value, 1) AS value FROM week"""
 )
 def weekly_series(spark, d):
-    week = forecast.weekly_series(views.flights(spark, d).filter("day_of_week <> 'Wed'"))
+    week = forecast.weekly_series(views.flights(spark, d))
     return week.withColumn("value", F.bround("value", 1))
 
 
 @query(
     FLIGHTS
     + WEEK_SQL.format(
-        key="airline, ", where="day_of_week <> 'Wed'",
+        key="airline, ",
         grid="(SELECT * FROM (SELECT DISTINCT airline FROM day_means), days) AS g", using="airline, day_of_week",
     )
     + """SELECT airline, round_even(avg(value), 1) AS avg,
@@ -289,7 +284,7 @@ def weekly_series(spark, d):
       arg_min(day_of_week, (-value, day_no)) AS peak_day FROM week GROUP BY airline"""
 )
 def weekly_outlook(spark, d):
-    outlook = forecast.weekly_outlook(views.flights(spark, d).filter("day_of_week <> 'Wed'"), ["airline"])
+    outlook = forecast.weekly_outlook(views.flights(spark, d), ["airline"])
     listed = F.array_join(
         F.transform("days", lambda p: F.concat(p["day"], F.lit("="), F.format_string("%.1f", p["value"]))), " "
     )

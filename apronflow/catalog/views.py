@@ -153,8 +153,8 @@ def cases(spark: SparkSession, folder: str, hours: int = 3) -> DataFrame:
 
 
 def case_flights(spark: SparkSession, folder: str) -> DataFrame:
-    """Flights of the two first gates per terminal: the base delay of the cases."""
-    return flights(spark, folder).filter("gate_no <= 2")
+    """All flights: the base delay of the cases."""
+    return flights(spark, folder)
 
 
 # The same views as SQL -------------------------------------------------------------------
@@ -252,7 +252,7 @@ cases AS (
     count(*) AS flight_count, departure_hour AS start_hour, departure_hour + 3 AS end_hour
   FROM flights GROUP BY terminal, weather, departure_hour
 ),
-base AS (SELECT terminal, avg(delay_minutes) AS base_delay FROM flights WHERE gate_no <= 2 GROUP BY terminal),
+base AS (SELECT terminal, avg(delay_minutes) AS base_delay FROM flights GROUP BY terminal),
 sized AS (
   SELECT c.*, base_delay,
     CASE terminal WHEN 'T1' THEN 8 WHEN 'T2' THEN 6 WHEN 'T3' THEN 5 ELSE 6 END AS gate_count,

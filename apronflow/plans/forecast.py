@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apronflow.functions.columns import lookup, text
@@ -209,9 +209,12 @@ def peak_warnings(
     )
 
 
-def first_warnings(warnings: DataFrame, k: int = 4) -> DataFrame:
-    """The earliest k warnings."""
-    return warnings.orderBy("step").limit(k)
+def first_warnings(warnings: DataFrame, k: int = 4, by: list[str] | None = None) -> DataFrame:
+    """The earliest k warnings, of each key where ``by`` is given (a key has one warning per step at most)."""
+    if not by:
+        return warnings.orderBy("step").limit(k)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("step"))
+    return warnings.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
 
 
 def forecast_summary(forecast: DataFrame, by: list[str] | None = None, high: float = 45) -> DataFrame:
