@@ -1,11 +1,12 @@
 """Quality rules: counts per text, then a hashed n-gram likelihood ratio. DataFrame functions only.
 
-The n-gram is the one that bridges two words: the last two characters of a word and the first two
-of the next. It is hashed into ``BUCKETS`` buckets; a trusted target (documents labelled good) and
-the raw corpus (every document) each give a smoothed multinomial over the buckets. A text's score
-is the mean log ratio of its n-grams; one fixed threshold decides every text.
+The n-grams are a text's whole words and its pairs of neighbouring words, hashed into ``BUCKETS``
+buckets. A trusted target (documents labelled good) and the raw corpus (every document, its counts
+scaled to the target's total) each give a multinomial over the buckets, smoothed by the same count,
+so an n-gram that the corpus hardly knows weighs next to nothing. A text's score is the mean log
+ratio of its n-grams; one fixed threshold decides every text.
 
-Nulls and odd rows: a null text counts as empty; a text without n-grams scores 0; a row with a null
+Nulls and odd rows: a null text counts as empty; a text without n-grams scores 0; without a target every text does; a row with a null
 ``doc_id`` is scored but never part of the target; repeated rows count as often as they occur;
 other columns pass through, whatever their names, unless they carry the name of a result column, which
 replaces them.
@@ -20,18 +21,22 @@ from apronflow.llm.hidden import hide, show
 from apronflow.sources.scratch import materialize
 
 BUCKETS = 65_521
-SMOOTHING = 1
-THRESHOLD = -0.75
+SMOOTHING = 32
+THRESHOLD = -0.05
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SPACES = r"[\x20\x09-\x0D]+"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RESULTS = [*COUNTS, "base_failed", "llr", "kept"]
 
-# hashes of a word's end and of a word's start; an n-gram's bucket joins the end of one word and
-# the start of the next
-_END, _START = "hash(substring({0}, -2, 2))", "hash(left({0}, 2))"
-_BUCKET = f"pmod({{0}} * 31L + {{1}}, {BUCKETS}L)"
+# buckets of a word by its hash, and of a pair by its words' hashes
+_WORD = f"cast(pmod({{0}}, {BUCKETS}) as int)"
+_PAIR = f"cast(pmod({{0}} * 31L + {{1}}, {BUCKETS}L) as int)"
+_CODES = "transform(_words, w -> hash(w))"
+_GRAMS = f"""concat(transform(_codes, h -> {_WORD.format('h')}),
+    zip_with(slice(_codes, 1, greatest(size(_codes) - 1, 0)), slice(_codes, 2, greatest(size(_codes) - 1, 0)),
+        (a, b) -> {_PAIR.format('a', 'b')}))"""
+SCALE = 10_000
 
 
 def words(text: Column) -> Column:
@@ -78,7 +83,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bucket_weights(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(bucket, weight) of every bucket: the log ratio of target and raw probability, to 4 decimals.
+    """(bucket, weight) of every bucket: the log ratio of target and raw probability in units of 1 / ``SCALE``.
 
     ``target`` holds the ``doc_id`` of trusted documents. It may be as long as the corpus, so it is
     always merged with the documents, never broadcast.
@@ -87,40 +92,36 @@ def bucket_weights(docs: DataFrame, target: DataFrame) -> DataFrame:
     trusted = target.select("doc_id").dropna().distinct().withColumn("_trusted", F.lit(1))
     marked = docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left")
     split = marked.select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), words(F.col("text")).alias("_words"))
+    coded = split.select("_trusted", F.expr(_CODES).alias("_codes"))
     # outer: a plain explode infers a filter on its array, which would split every text again
-    places = split.withColumn("i", F.explode_outer(F.expr("if(size(_words) > 1, sequence(1, size(_words) - 1), array())")))
-    each = places.filter("i IS NOT NULL").select(
-        F.expr(_BUCKET.format(_END.format("_words[i - 1]"), _START.format("_words[i]"))).alias("bucket"), "_trusted"
-    )
+    each = coded.select("_trusted", F.explode_outer(F.expr(_GRAMS)).alias("bucket")).filter("bucket IS NOT NULL")
     counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_trusted").alias("good"))
     counts = materialize(counts, "buckets")
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    filled = every.join(counts, "bucket", "left").na.fill(0, ["raw", "good"]).select(
-        "bucket", *[F.named_struct(F.lit("n"), F.col(c)).alias(c) for c in ("raw", "good")]
-    )
+    filled = every.join(counts, "bucket", "left").na.fill(0, ["raw", "good"])
     total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
-    share = lambda c, n: F.log((F.col(f"{c}.n") + SMOOTHING) / F.lit(float(n + SMOOTHING * BUCKETS)))
-    return filled.select("bucket", F.round(share("good", total.good) - share("raw", total.raw), 4).alias("weight"))
+    expected = F.col("raw").cast("double") * F.lit(float(total.good)) / F.lit(float(max(total.raw, 1)))
+    ratio = F.log((F.col("good") + float(SMOOTHING)) / (expected + float(SMOOTHING)))
+    return filled.select("bucket", F.round(ratio * SCALE).cast("int").alias("weight"))
 
 
 def _as_array(weights: DataFrame) -> Column:
     """The weights as one constant array: 65,521 numbers, whatever the size of the corpus."""
     numbers = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "weight"))), lambda x: x["weight"].cast("string"))
-    return F.split(F.lit(weights.agg(F.array_join(numbers, ",")).first()[0]), ",").cast("array<double>")
+    return F.split(F.lit(weights.agg(F.array_join(numbers, ",")).first()[0]), ",").cast("array<int>")
 
 
 def judge(docs: DataFrame, weights: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``llr`` and ``kept``; no shuffle."""
     table = _as_array(weights)
     counted = with_counts(hide(docs, "text"))
-    ends = F.expr(f"transform(slice(_words, 1, greatest(size(_words) - 1, 0)), w -> {_END.format('w')})")
-    starts = F.expr(f"transform(slice(_words, 2, greatest(size(_words) - 1, 0)), w -> {_START.format('w')})")
-    grams = F.expr(f"zip_with(_ends, _starts, (a, b) -> cast({_BUCKET.format('a', 'b')} as int))")
-    total = F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.get(table, g))
+    total = F.aggregate(F.expr(_GRAMS), F.lit(0).cast("long"), lambda s, g: s + F.get(table, g))
+    # whole units: the order of the sum makes no difference
+    mean = (total.cast("double") / F.greatest(2 * F.size("_codes") - 1, F.lit(1))).cast("long")
     scored = (
-        counted.withColumns({"_ends": ends, "_starts": starts})
-        .withColumn("llr", F.round(total / F.greatest(F.size("_ends"), F.lit(1)), 4))
-        .drop("_ends", "_starts", "_words")
+        counted.withColumn("_codes", F.expr(_CODES))
+        .withColumn("llr", mean / F.lit(float(SCALE)))
+        .drop("_codes", "_words")
     )
     failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
@@ -174,24 +175,25 @@ WITH w AS (
   SELECT r, i FROM tri QUALIFY count(*) OVER (PARTITION BY r, t) > 1
 ), cover AS (
   SELECT r, count(DISTINCT p)::BIGINT AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY r
-), pairs AS (
-  SELECT r, doc_id, right(ws[i], 2) AS a, ws[i+1] AS b
-  FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)
-), ends AS (SELECT a, {_murmur("a")} AS h FROM (SELECT DISTINCT a FROM pairs)
-), starts AS (SELECT b2, {_murmur("b2")} AS h FROM (SELECT DISTINCT left(b, 2) AS b2 FROM pairs)
+), places AS (
+  SELECT r, doc_id, ws[i] AS a, if(i > 1, ws[i-1], NULL) AS b
+  FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)
+), codes AS (SELECT a, {_murmur("a")} AS h FROM (SELECT DISTINCT a FROM places)
 ), grams AS (
-  SELECT r, doc_id, ((ends.h * 31 + starts.h) % {BUCKETS} + {BUCKETS}) % {BUCKETS} AS g
-  FROM pairs JOIN ends USING (a) JOIN starts ON left(pairs.b, 2) = starts.b2
+  SELECT r, doc_id, (h % {BUCKETS} + {BUCKETS}) % {BUCKETS} AS g FROM places JOIN codes USING (a)
+  UNION ALL
+  SELECT r, doc_id, ((before.h * 31 + own.h) % {BUCKETS} + {BUCKETS}) % {BUCKETS}
+  FROM places JOIN codes own ON own.a = places.a JOIN codes before ON before.a = places.b
 ), counts AS (
   SELECT g, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good
   FROM grams GROUP BY g
 ), total AS (SELECT coalesce(sum(raw), 0) AS raw, coalesce(sum(good), 0) AS good FROM counts),
 weights AS (
-  SELECT g, round(ln((counts.good + {SMOOTHING}) / (total.good + {SMOOTHING * BUCKETS})::DOUBLE)
-              - ln((counts.raw + {SMOOTHING}) / (total.raw + {SMOOTHING * BUCKETS})::DOUBLE), 4) AS weight
+  SELECT g, round(ln((counts.good + {SMOOTHING}) / (counts.raw::DOUBLE * total.good::DOUBLE / greatest(total.raw, 1)::DOUBLE + {SMOOTHING}))
+              * {SCALE})::BIGINT AS weight
   FROM counts, total
 ), scores AS (
-  SELECT r, round(sum(weight) / count(*), 4) AS llr FROM grams JOIN weights USING (g) GROUP BY r
+  SELECT r, trunc(sum(weight)::DOUBLE / count(*)) / {SCALE}.0::DOUBLE AS llr FROM grams JOIN weights USING (g) GROUP BY r
 ), judged AS (
   SELECT base.*, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words,
     coalesce(llr, 0.0) AS llr
