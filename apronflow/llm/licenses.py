@@ -2,9 +2,10 @@
 
 A notice may be misspelt by up to ``edits`` characters. Cut into one piece more than that, it leaves
 at least one piece untouched in every match (pigeonhole), so exact hits of the pieces locate all
-candidates; the regex library's bounded-error matching then verifies the edits around each and gives
-the span. Texts are compared as words in lower case joined by single spaces, and a span covers whole
-words. Notices that stand exactly are found apart, at every place.
+candidates; the regex library's bounded-error matching then verifies every run of whole words around
+each whose length can fit. Of spans of one notice that overlap, the one with the fewest edits stays
+(ties: the first, then the shortest). Texts are compared as words in lower case joined by single
+spaces. Notices that stand exactly are found apart, at every place.
 
 Nulls and odd rows: a null or empty text has no words, no spans, empty label strings and score 0;
 repeated rows are scanned alike; a null ``doc_id`` passes through; other columns pass through, those
@@ -60,7 +61,7 @@ def scan(docs: DataFrame, notices: list[tuple[str, str, int]] = NOTICES, text: s
         plans = []
         for phrase, label, edits in notices:
             whole = re.escape(phrase)
-            fuzzy = regex.compile(rf"(?<![^ ])(?:{whole}){{e<={edits}}}(?![^ ])", regex.BESTMATCH) if edits else None
+            fuzzy = regex.compile(rf"(?:{whole}){{e<={edits}}}", regex.BESTMATCH) if edits else None
             plans.append((phrase, label, edits, pieces(phrase, edits), fuzzy))
 
         def near(body: bytes, phrase: str, edits: int, seeds: list, fuzzy) -> dict[tuple[int, int], tuple[int, str]]:
@@ -72,18 +73,31 @@ def scan(docs: DataFrame, notices: list[tuple[str, str, int]] = NOTICES, text: s
                     low = place - offset - 4 * edits - 1
                     high = place - offset + len(phrase) + 4 * edits + 1
                     around.append((max(0, body.rfind(b" ", 0, max(low, 0) + 1)), body.find(b" ", min(high, len(body) - 1))))
-            found: dict[tuple[int, int], tuple[int, str]] = {}
+            seen: dict[tuple[int, int], tuple[int, str]] = {}
             reach = -1
             for low, high in sorted(around):
                 if high <= reach:
                     continue
                 reach = high
-                window = body[low : high + 1].decode("utf-8")
-                position = 0
-                while match := fuzzy.search(window, position):
-                    start = low + len(window[: match.start()].encode())
-                    found[start, start + len(match.group().encode())] = (sum(match.fuzzy_counts), match.group())
-                    position = match.start() + 1
+                # the window begins and ends with a space
+                tokens = body[low + 1 : high].split(b" ")
+                lengths = [len(t.decode("utf-8")) for t in tokens]
+                start = low + 1
+                for i in range(len(tokens)):
+                    length, end = -1, start - 1
+                    for j in range(i, len(tokens)):
+                        length, end = length + 1 + lengths[j], end + 1 + len(tokens[j])
+                        if length > len(phrase) + edits:
+                            break
+                        if length >= len(phrase) - edits and (start, end) not in seen:
+                            run = body[start:end].decode("utf-8")
+                            if match := fuzzy.fullmatch(run):
+                                seen[start, end] = (sum(match.fuzzy_counts), run)
+                    start += len(tokens[i]) + 1
+            found: dict[tuple[int, int], tuple[int, str]] = {}
+            for (start, end), (changed, run) in sorted(seen.items(), key=lambda x: (x[1][0], x[0])):
+                if all(end <= s or e <= start for s, e in found):
+                    found[start, end] = (changed, run)
             return found
 
         def one(value: str | None) -> tuple:
