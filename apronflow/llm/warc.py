@@ -155,7 +155,7 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     shard = lambda digest: F.expr(f"cast((cast(conv(substring({digest}, 1, 10), 16, 10) as bigint) * {shards}L) div 1099511627776L as int)")
 
     once = rows.select("digest", "page_id", "url", "payload").mapInArrow(_first_payloads, "digest string, page_id bigint, url string, payload binary")
-    placed = once.select(shard("digest").alias("shard"), "*").repartition(2 * shards, "shard")
+    placed = once.select(shard("digest").alias("shard"), "*").repartitionById(shards, "shard")
     placed = placed.sortWithinPartitions("shard", "digest", F.desc_nulls_last("page_id"), F.desc_nulls_last("url"))
     responses = placed.mapInArrow(_writer(folder, "response", roll_bytes), MANIFEST)
 
@@ -165,12 +165,12 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     again = again.filter("_more > 0").withColumn("copy", F.explode_outer(F.expr("sequence(2L, _more + 1)")))
     again = again.withColumn("place", F.md5(F.concat_ws("-", F.col("page_id").cast("string"), "digest", F.col("copy").cast("string"))))
     again = again.select(shard("place").alias("shard"), "place", "page_id", "url", "digest", "size", "refers_to", "copy")
-    again = again.repartition(2 * shards, "shard").sortWithinPartitions("shard", "place")
+    again = again.repartitionById(shards, "shard").sortWithinPartitions("shard", "place")
     revisits = again.mapInArrow(_writer(folder, "revisit", roll_bytes), MANIFEST)
     responses.union(revisits).write.mode("overwrite").parquet(f"{folder}/manifest")
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reader(folder: str):
     import base64
     import hashlib
     import zlib
@@ -195,16 +195,29 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = lambda name: int(fields[name]) if name in fields else None
             yield number("X-Page"), number("X-Payload-Length"), digest, fields["WARC-Type"], number("X-Refers-To-Page"), fields.get("WARC-Target-URI")
 
-    for batch in batches:
-        for content in batch.column(0):
-            rows = list(records(content.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, size, sha1 in zip(*(c.to_pylist() for c in batch.columns)):
+                with store.open_input_stream(posixpath.join(base, name), compression=None) as source:
+                    data = source.read()
+                if len(data) != size or hashlib.sha1(data).hexdigest() != sha1:
+                    raise ValueError(f"{name} differs from the manifest")
+                rows = list(records(data))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    return read
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of the files in the manifest, with payloads checked against their digests."""
-    listed = spark.read.parquet(f"{folder}/manifest").select("file", "bytes")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    files = files.withColumn("file", F.element_at(F.split("path", "/"), -1))
-    whole = files.join(F.broadcast(listed), (files["file"] == listed["file"]) & (files["length"] == listed["bytes"]), "left_semi")
-    return whole.select("content").mapInArrow(_records, RECORDS)
+    """The records of the files in the manifest, with files and payloads checked against their digests.
+
+    The manifest's rows are dealt to tasks, which open their files one by one: no file is listed,
+    shuffled or broadcast.
+    """
+    listed = spark.read.parquet(f"{folder}/manifest").select("file", "bytes", "sha1")
+    total = listed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    dealt = listed.repartition(max(MIN_SHARDS, -(-total // SHARD_BYTES)), "file")
+    return dealt.mapInArrow(_reader(folder), RECORDS)
