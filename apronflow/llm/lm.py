@@ -202,49 +202,9 @@ def _answer(probes: int):
     return answer
 
 
-def _segment_filler(bits: int, segments: int, probes: int, lowest: tuple[int, int]):
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = bits // segments
-        filled: dict[int, np.ndarray] = {}
-        for batch in batches:
-            keys = batch.column(0).to_numpy().view(np.uint64)
-            top = _levels(batch.column(1).to_numpy())
-            low = np.where(keys & np.uint64(1), lowest[1], lowest[0])
-            for level in range(int(low.min(initial=64)), int(top.max(initial=0)) + 1):
-                chosen = keys[(low <= level) & (level <= top)]
-                for probe in range(probes):
-                    at = np.unique(positions(chosen, level, probe, bits, segments))
-                    for segment in np.unique(at // np.uint64(part)).tolist():
-                        own = at[at // np.uint64(part) == segment] - np.uint64(segment * part)
-                        octets = filled.setdefault(segment, np.zeros(part // 8, dtype=np.uint8))
-                        np.bitwise_or.at(octets, (own >> np.uint64(3)).astype(np.int64), (1 << (own & np.uint64(7))).astype(np.uint8))
-        for segment, octets in filled.items():
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([octets.tobytes()], pa.binary())], ["segment", "octets"])
-
-    return fill
-
-
-def build_filter(counts: DataFrame, bits: int = 1 << 27, segments: int = SEGMENTS, probes: int = PROBES) -> tuple[np.ndarray, tuple[int, int]]:
-    """A filter of a given size in one piece: its bytes, and the lowest levels it holds of tokens
-    and of pairs; what doesn't fit goes. ``score`` uses ``build_segments``, which leaves out nothing."""
-    level = F.floor(F.log2("n")).cast("int") + 1
-    sizes = counts.groupBy((F.col("key").bitwiseAND(1)).alias("pair"), level.alias("level")).count().collect()
-    lowest = (1, 2)
-    while sum(r["count"] * max(0, r.level - lowest[r.pair] + 1) for r in sizes) * probes > bits * np.log(2):
-        lowest = (lowest[0] + (lowest[1] > 3), lowest[1] + 1)
-    held = counts.filter(F.when(F.col("key").bitwiseAND(1) == 1, level >= lowest[1]).otherwise(level >= lowest[0]))
-    spread = held.withColumn("segment", F.expr(f"pmod(shiftrightunsigned(key, 1), {segments}L)")).repartition(segments, "segment")
-    parts = spread.select("key", "n").mapInArrow(_segment_filler(bits, segments, probes, lowest), "segment int, octets binary")
-    part = bits // segments // 8
-    octets = np.zeros(bits // 8, dtype=np.uint8)
-    for row in parts.collect():  # together the filter's fixed size, in one job
-        octets[row.segment * part : (row.segment + 1) * part] |= np.frombuffer(row.octets, dtype=np.uint8)
-    return octets, lowest
-
-
-def score(docs: DataFrame, fold: int = 1, by: int = 5, bits: int = BITS, head: int | None = None, weight: float = WEIGHT) -> DataFrame:
+def score(docs: DataFrame, fold: int = 1, by: int = 5, bits: int = BITS, weight: float = WEIGHT) -> DataFrame:
     """Scores of all ``docs``, learned from those outside the fold. ``bits`` is the filter's least
-    size; ``head`` has no effect any more: all tokens' counts are looked up alike."""
+    size."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     segments, blocks = SEGMENTS + size // SEGMENT_BYTES, 1 + size // BLOCK_BYTES
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % by == fold, F.lit(False))

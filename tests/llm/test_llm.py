@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -231,12 +232,11 @@ def test_lm(docs, rows, empty):
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in tokens]
     counts = collections.Counter(t for (_, ts), h in zip(tokens, held) if not h for t in ts)
     n, v = sum(counts.values()), len(counts)
-    for head in (1 << 20, 40):
-        got = lm.score(docs, bits=1 << 20, head=head).collect()
-        expected = [(i, h, len(ts), sum(counts[t] > 0 for t in ts), n, round(sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts), 5)) for (i, ts), h in zip(tokens, held)]
-        found = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got]
-        assert sorted(map(str, found)) == sorted(map(str, expected))
-        assert all(r.score < 0 for r in got)
+    got = lm.score(docs, bits=1 << 20).collect()
+    expected = [(i, h, len(ts), sum(counts[t] > 0 for t in ts), n, round(sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts), 5)) for (i, ts), h in zip(tokens, held)]
+    found = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got]
+    assert sorted(map(str, found)) == sorted(map(str, expected))
+    assert all(r.score < 0 for r in got)
     assert lm.score(empty, bits=1 << 20).count() == 0
 
 
@@ -272,19 +272,19 @@ def test_lm_model_holds_every_pair(spark, docs, rows):
         assert all(8 * len(r.octets) >= r.entries * lm.PROBES / math.log(2) for r in found)
 
 
-def test_bloom_filter_levels(spark):
+def test_bloom_filter_levels():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(-(1 << 63), 1 << 63, 20_000) & ~1)
     n = 2 ** rng.integers(0, 8, len(keys))
-    table = spark.createDataFrame([(int(k), int(c)) for k, c in zip(keys, n)], "key LONG, n LONG")
-    octets, lowest = lm.build_filter(table, bits=1 << 21)
-    assert lowest == (1, 2)
-    read = lm.read_levels(keys.view(np.uint64), octets, 1, 1 << 21, lm.SEGMENTS, lm.PROBES)
+    rows = pa.table({"segment": [0], "keys": [keys.astype("<i8").tobytes()], "n": [n.astype("<u4").tobytes()]})
+    built = lm._segment_builder(64, lm.PROBES)(rows).to_pylist()[0]
+    octets = np.frombuffer(built["octets"], np.uint8)
+    assert 8 * len(octets) >= built["entries"] * lm.PROBES / math.log(2) and built["v"] == len(keys) and built["n"] == n.sum()
+    read = lm.read_levels(keys.view(np.uint64), octets, 1, 8 * len(octets), 1, lm.PROBES)
     true = np.log2(n).astype(int) + 1
     assert (read >= true).all() and (read == true).mean() > 0.9
-    others = lm.read_levels((keys + 2).view(np.uint64), octets, 1, 1 << 21, lm.SEGMENTS, lm.PROBES)
+    others = lm.read_levels((keys + 2).view(np.uint64), octets, 1, 8 * len(octets), 1, lm.PROBES)
     assert (others == 0).mean() > 0.9
-    assert lm.build_filter(table, bits=1 << 16)[1][0] > 1
 
 
 def test_warc(spark, tmp_path):

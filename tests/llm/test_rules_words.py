@@ -16,9 +16,10 @@ def test_changed_words_lower_the_ratio(spark, folder):
     changed = good.withColumn("text", F.regexp_replace("text", r"(\S{2})\S+?(\S{2})(?=\s|$)", "$1qq$2"))
     before = {r.doc_id: r.llr for r in rules.judge(good, weights).collect()}
     after = {r.doc_id: r.llr for r in rules.judge(changed, weights).collect()}
-    # words that no text has weigh next to nothing: a text above 0 falls, one below may rise towards 0
+    # words that no text has weigh next to nothing, so most texts above 0 fall; not each of so few texts does
     above = [d for d in before if before[d] > 0]
-    assert len(above) > 40 and all(after[d] < before[d] for d in above)
+    assert len(above) > 40 and sum(after[d] < before[d] for d in above) > 0.9 * len(above)
+    assert sum(after[d] for d in above) < 0.8 * sum(before[d] for d in above)
     assert all(after[d] != before[d] for d in before)
 
 
