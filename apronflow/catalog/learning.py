@@ -144,7 +144,7 @@ def _metric(spark, **values):
 @query()
 def train_delay_regressor(spark, d):
     model, _, test = _fit_delay(spark, d)
-    return _metric(spark, mae=training.mean_absolute_error(model.transform(test)))
+    return _metric(spark, mae=training.mean_absolute_error(scoring.predicted(test, model)))
 
 
 @query()
@@ -162,7 +162,7 @@ def train_onehot_classifier(spark, d):
     )
     train, test = training.split_marked(training.stratified_split(table, "delayed", "flight_id"))
     model = training.train_onehot_classifier(train)
-    return _metric(spark, accuracy=training.accuracy(model.transform(test), "delayed"))
+    return _metric(spark, accuracy=training.accuracy(scoring.predicted(test, model), "delayed"))
 
 
 @cache
@@ -322,7 +322,7 @@ def explain_delay(spark, d):
 def explanations_add_up(spark, d):
     """Base and contributions of every flight give its prediction to 1e-9."""
     model, _, _ = _fit_delay(spark, d)
-    scored = model.transform(_delay_table(spark, d)).select("flight_id", "prediction", *features.DELAY_FEATURES)
+    scored = scoring.predicted(_delay_table(spark, d), model).select("flight_id", "prediction", *features.DELAY_FEATURES)
     explained = shapley.explain(scored, model, features.DELAY_FEATURES)
     total = F.aggregate("contributions", F.col("base"), lambda a, b: a + b)
     gap = F.abs(total - F.col("prediction"))

@@ -7,6 +7,8 @@ integral of a polynomial in these two kinds of numbers, which Gauss-Legendre nod
 on the row only through which features let it through, so each leaf needs one small table for a whole
 batch of rows. Contributions and base add up to the ensemble's output.
 
+``explain`` works on the distinct feature vectors of a table, whose results the rows read by a join.
+
 Nodes are collected after their size is checked, and sent in parts of at most ``PART_BYTES`` (laid out for
 use); parts are added up in passes over the rows, nothing is shuffled by them.
 """
@@ -23,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apronflow.models.scoring import top_factors
+from apronflow.models.scoring import per_vector, top_factors
 from apronflow.sources.scratch import scratch_path
 
 PART_BYTES = 64 << 20
@@ -117,12 +119,18 @@ def _masks(d: int) -> np.ndarray:
     return ((np.arange(2**d) >> np.arange(d)[:, None]) & 1).astype(bool)
 
 
+@cache
+def _gauss(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n Gauss-Legendre nodes and weights over 0 to 1."""
+    at, weight = np.polynomial.legendre.leggauss(n)
+    return (at + 1) / 2, weight / 2
+
+
 def _weights(share: np.ndarray, through: np.ndarray | None = None) -> np.ndarray:
     """Shapley values (features x rows) of the game "all known features let the row through, shares for
     those left out": for each column of ``through``, by default for every mask."""
     d = len(share)
-    at, weight = np.polynomial.legendre.leggauss((d + 1) // 2)
-    at, weight = (at + 1) / 2, weight / 2
+    at, weight = _gauss((d + 1) // 2)
     lets, stops = share[:, None] * (1 - at) + at, share[:, None] * (1 - at)
     if through is None:
         product = np.ones((1, len(at)))
@@ -209,17 +217,6 @@ def explain(
     probability of a forest classifier, and to the margin of boosted trees.
     """
     tree = model.stages[-1]
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), x.alias("x"))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores)
-    pick = F.lit(0)
-    if type(tree).__name__ == "RandomForestClassificationModel":
-        copy = tree.copy().setFeaturesCol("vector").setPredictionCol("guess").setProbabilityCol("").setRawPredictionCol("")
-        rows = copy.transform(rows.withColumn("vector", array_to_vector("x")))
-        pick = F.col("guess").cast("int")
-    found = shapley_values(rows.select("row", "x", pick.alias("pick")), forest_nodes(tree), len(features), part_bytes)
     factors = F.array(
         *[
             F.struct(
@@ -230,4 +227,18 @@ def explain(
             for i, feature in enumerate(features)
         ]
     )
-    return found.select("row.*", "base", F.col("sums").alias("contributions"), top_factors(factors, k).alias("factors"))
+
+    def explained(vectors: DataFrame) -> DataFrame:
+        # a task works through every leaf whatever its rows, so there are no more tasks than cores
+        vectors = vectors.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+        x = F.array(*[F.col(f).cast("double") for f in features])
+        rows = vectors.select(F.struct(*[F.col(f"`{c}`") for c in features]).alias("row"), x.alias("x"))
+        pick = F.lit(0)
+        if type(tree).__name__ == "RandomForestClassificationModel":
+            copy = tree.copy().setFeaturesCol("vector").setPredictionCol("guess").setProbabilityCol("").setRawPredictionCol("")
+            rows = copy.transform(rows.withColumn("vector", array_to_vector("x")))
+            pick = F.col("guess").cast("int")
+        found = shapley_values(rows.select("row", "x", pick.alias("pick")), forest_nodes(tree), len(features), part_bytes)
+        return found.select("row.*", "base", F.col("sums").alias("contributions"), top_factors(factors, k).alias("factors"))
+
+    return per_vector(df, features, explained)
