@@ -29,6 +29,12 @@ from apronflow.models.features import (
 from apronflow.operators.ranking import id_digest, id_number, smallest_share
 from apronflow.sources.scratch import materialize, use_checkpoint_folder
 
+# a forest keeps a draw and a node per row and tree, some 2 KB a row at 200 trees, and a task reads its rows'
+ROWS_PER_TASK = 250_000
+# each pass reads the node a row has reached instead of walking every tree from its root: the same forest
+KEPT_NODES = {"cacheNodeIds": True, "checkpointInterval": -1}
+
+
 def hash_split(df: DataFrame, identifier: str, test_share: float = 0.2, seed: int = 42):
     """(train, test) by a threshold on the id digest: no shuffle, the same rows on every run."""
     limit = f"{int(test_share * 16**15):015x}"
@@ -62,11 +68,13 @@ def training_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """The needed columns as a written table.
 
     Training passes over its rows many times, and after a lost executor they are read again
-    instead of joined again. A table of few files is spread over all cores.
+    instead of joined again. A table of few files is spread over all cores, and a large one over so many
+    tasks that none holds more than about ``ROWS_PER_TASK`` rows.
     """
     table = materialize(df.select(*dict.fromkeys(columns)), "training")
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    tasks = max(cores, -(-table.count() // ROWS_PER_TASK))
+    return table if table.rdd.getNumPartitions() >= tasks else table.repartition(tasks)
 
 
 def _assembled(features: list[str]) -> VectorAssembler:
@@ -77,7 +85,7 @@ def train_delay_regressor(
     train: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42
 ) -> PipelineModel:
     forest = RandomForestRegressor(
-        featuresCol="features", labelCol="delay_minutes", numTrees=trees, maxDepth=depth, seed=seed
+        featuresCol="features", labelCol="delay_minutes", numTrees=trees, maxDepth=depth, seed=seed, **KEPT_NODES
     )
     rows = training_table(train, [*DELAY_FEATURES, "delay_minutes"])
     return Pipeline(stages=[_assembled(DELAY_FEATURES), forest]).fit(rows)
@@ -92,7 +100,7 @@ def train_delay_classifier(
 ) -> PipelineModel:
     """Late-flight classifier on ``is_delayed``."""
     forest = RandomForestClassifier(
-        featuresCol="features", labelCol="is_delayed", numTrees=trees, maxDepth=depth, seed=seed
+        featuresCol="features", labelCol="is_delayed", numTrees=trees, maxDepth=depth, seed=seed, **KEPT_NODES
     )
     rows = training_table(train, [*WEATHER_DELAY_FEATURES, "is_delayed"])
     return Pipeline(stages=[_assembled(WEATHER_DELAY_FEATURES), forest]).fit(rows)
@@ -122,7 +130,7 @@ def train_onehot_classifier(
         dropLast=True,
     )
     forest = RandomForestClassifier(
-        featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed
+        featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, **KEPT_NODES
     )
     rows = training_table(train, [*ONEHOT_FEATURES, label])
     return Pipeline(stages=[index, onehot, _assembled(onehot.getOutputCols()), forest]).fit(rows)
@@ -168,6 +176,7 @@ def risk_pipeline(trees: int = 200, depth: int = 12, min_leaf: int = 5, seed: in
         maxDepth=depth,
         minInstancesPerNode=min_leaf,
         seed=seed,
+        **KEPT_NODES,
     )
     return Pipeline(stages=[label, _assembled(RISK_FEATURES), forest])
 
