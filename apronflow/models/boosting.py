@@ -3,8 +3,8 @@
 Features are cut at approximate quantiles once. Rows of equal bins are counted into one row per sampling
 group, so the table that is passed over holds at most (bins per feature)**features x ``GROUPS`` rows, however
 many were read. It is kept in blocks of arrays. Each level of a tree is one aggregation: gradients and
-Hessians are summed per node, feature and bin, combined in each task and then in a tree of tasks, and
-only these sums (bounded by the depth, features and bins) reach the driver, which picks the splits of
+Hessians are summed per node, feature and bin, combined in each task and then in ``DIRECT`` tasks, and
+only their sums (bounded by the depth, features and bins) reach the driver, which picks the splits of
 largest gain. A tree draws its columns and its sampling groups of rows anew. A finished model scores
 Arrow batches of rows, all rows of a batch at once.
 """
@@ -15,6 +15,7 @@ import json
 import random
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,8 @@ from apronflow.sources.scratch import materialize, use_checkpoint_folder
 GROUPS = 20
 # rounds whose margins are only cached, between two checkpoints
 REFRESH = 20
-# tasks whose sums are added up on the driver; those of more tasks are combined first
-DIRECT = 64
+# tasks that send their sums to the driver, at most; those of more tasks are combined by so many first
+DIRECT = 4
 
 @dataclass
 class BoostedTrees:
@@ -164,6 +165,19 @@ def _sums(blocks: Iterable[dict[str, np.ndarray]], tree: dict[str, np.ndarray],
     yield out
 
 
+def _added(pairs: Iterable[tuple[int, np.ndarray]]) -> np.ndarray:
+    """The sum in order of the tasks, so that it does not depend on which one ends first."""
+    return reduce(np.add, [values for _, values in sorted(pairs, key=lambda pair: pair[0])])
+
+
+def _partials(sums: RDD) -> RDD:
+    """At most ``DIRECT`` sums, however many tasks there are."""
+    if sums.getNumPartitions() <= DIRECT:
+        return sums
+    dealt = sums.mapPartitionsWithIndex(lambda i, rows: [(i % DIRECT, (i, values)) for values in rows])
+    return dealt.groupByKey(DIRECT).map(lambda group: _added(group[1]))
+
+
 def _grow(blocks: RDD, columns: list[int], parts: list[int], edges: list[list[float]], depth: int, step: float, l2: float, min_child: float) -> dict[str, list]:
     """One tree, level by level."""
     size = 2 ** (depth + 1)
@@ -173,8 +187,7 @@ def _grow(blocks: RDD, columns: list[int], parts: list[int], edges: list[list[fl
     for level in range(depth):
         so_far = _arrays(tree)
         sums = blocks.mapPartitions(lambda rows, t=so_far, n=level, a=active: _sums(rows, t, n, a, columns, parts, width))
-        # few tasks send their sums straight to the driver
-        g, h = sums.reduce(np.add) if sums.getNumPartitions() <= DIRECT else sums.treeReduce(np.add)
+        g, h = _partials(sums).reduce(np.add)
         if not level:
             # the first column's bins hold every row once
             _weigh(tree, 1, g[0, 0].sum(), h[0, 0].sum(), step, l2)
