@@ -514,8 +514,8 @@ def expand_passengers(spark, d):
     hours = F.timestamp_diff("HOUR", F.lit(dt.datetime(1990, 1, 1)), F.col("timestamp"))
     return people.groupBy("terminal", "gate").agg(
         F.count(F.lit(1)).alias("passengers"),
-        F.min("passenger_id").alias("first_passenger"),
-        F.max("passenger_id").alias("last_passenger"),
+        expand.first_id("passenger_id", "P").alias("first_passenger"),
+        expand.last_id("passenger_id", "P").alias("last_passenger"),
         F.sum(number % 1000003 * (hours % 1009)).alias("digest"),
     )
 
@@ -532,8 +532,8 @@ def expand_baggage(spark, d):
     bags = expand.expand_baggage(expand.expand_passengers(views.passenger_flow(spark, d)))
     return bags.groupBy("status").agg(
         F.count(F.lit(1)).alias("bags"),
-        F.min("baggage_id").alias("first_bag"),
-        F.max("passenger_id").alias("last_passenger"),
+        expand.first_id("baggage_id", "B").alias("first_bag"),
+        expand.last_id("passenger_id", "P").alias("last_passenger"),
     )
 
 

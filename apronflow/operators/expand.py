@@ -58,3 +58,24 @@ def expand_baggage(passengers: DataFrame) -> DataFrame:
     return passengers.select(
         bag.alias("baggage_id"), "passenger_id", bag_status(bag).alias("status")
     )
+
+
+def _id_key(identifier: Column | str) -> Column:
+    """A number that orders ids (a letter and at most 17 digits) like their texts."""
+    digits = F.substring(identifier, 2, 17)
+    return F.rpad(digits, 17, "0").cast("long") * 32 + F.length(digits)
+
+
+def _id_text(letter: str, key: Column) -> Column:
+    digits = F.lpad(F.shiftright(key, 5).cast("string"), 17, "0")
+    return F.concat(F.lit(letter), F.substring(digits, F.lit(1), (key % 32).cast("int")))
+
+
+def first_id(identifier: Column | str, letter: str) -> Column:
+    """The smallest id of a group. Over numbers, as hash aggregation needs: a minimum of texts sorts all rows."""
+    return _id_text(letter, F.min(_id_key(identifier)))
+
+
+def last_id(identifier: Column | str, letter: str) -> Column:
+    """The largest id of a group, see ``first_id``."""
+    return _id_text(letter, F.max(_id_key(identifier)))
