@@ -1,6 +1,6 @@
 """MLlib training on feature tables.
 
-Forests are MLlib's, not bit-identical to other libraries. Depth is bounded (MLlib allows 30
+Forests are MLlib's (the risk forest is grown on counted rows, see ``forests``), not bit-identical to other libraries. Depth is bounded (MLlib allows 30
 at most); everything else follows the published settings by default.
 """
 
@@ -19,6 +19,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from apronflow.models import forests
 from apronflow.models.features import (
     DELAY_FEATURES,
     ONEHOT_FEATURES,
@@ -155,9 +156,9 @@ def train_weather_gbt(
     return Pipeline(stages=[_assembled(SENSOR_FEATURES), boosted]).fit(rows)
 
 
-def balanced_weights(df: DataFrame, label: str = "risk_label") -> DataFrame:
-    """``weight`` = rows / (classes * rows of the class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+def balanced_weights(df: DataFrame, label: str = "risk_label", count: str | None = None) -> DataFrame:
+    """``weight`` = rows / (classes * rows of the class); ``count`` names the number of rows behind each row."""
+    counts = df.groupBy(label).agg((F.sum(count) if count else F.count(F.lit(1))).alias("_n"))
     # the class counts are written once; their sums are one-row scalars of that table
     counts = materialize(counts, "classes")
     rows = counts.select(F.sum("_n")).scalar()
@@ -182,9 +183,9 @@ def risk_pipeline(trees: int = 200, depth: int = 12, min_leaf: int = 5, seed: in
 
 
 def train_risk_classifier(train: DataFrame, **settings) -> PipelineModel:
-    """LOW / MEDIUM / HIGH forest with balanced class weights."""
-    rows = training_table(balanced_weights(train), [*RISK_FEATURES, "risk_label", "weight"])
-    return risk_pipeline(**settings).fit(rows)
+    """LOW / MEDIUM / HIGH forest with balanced class weights, grown on counted rows (see ``forests``)."""
+    rows = forests.counted(train, [*RISK_FEATURES, "risk_label"])
+    return forests.fit(risk_pipeline(**settings), balanced_weights(rows, count="n"))
 
 
 def with_folds(df: DataFrame, identifier: str, folds: int = 5, seed: int = 42) -> DataFrame:
