@@ -69,6 +69,13 @@ def test_figures_agree_with_a_forest_on_all_rows(spark):
     assert (counted.stages[-1].getNumTrees, counted.stages[0].labels) == (40, whole.stages[0].labels)
 
 
+def test_cross_validation_counts_every_row(spark):
+    df = risk_rows(spark, 3000)
+    once = training.cross_validate_f1(df, "id", folds=2, trees=5, depth=5)
+    assert once == training.cross_validate_f1(df.repartition(5), "id", folds=2, trees=5, depth=5)
+    assert once[0] > 0.5
+
+
 def test_best_splits_are_those_of_plain_loops():
     rng = np.random.default_rng(5)
     sums = rng.integers(0, 6, (30, 2, 5, 3)).astype(float)
