@@ -29,6 +29,11 @@ from apronflow.models.scoring import per_vector, top_factors
 from apronflow.sources.scratch import scratch_path
 
 PART_BYTES = 64 << 20
+# leaves whose tables are made at once, the bytes these take if they are several, and the entries of a table that is made
+# however few the rows
+LEAVES = 64
+TABLE_BYTES = 8 << 20
+SMALL_TABLE = 64
 
 # value: what a leaf adds to the output, one number per class; rows with x <= threshold go below
 NODES = "tree INT, node INT, feature INT, threshold DOUBLE, below INT, above INT, cover DOUBLE, value ARRAY<DOUBLE>"
@@ -146,26 +151,88 @@ def _weights(share: np.ndarray, through: np.ndarray | None = None) -> np.ndarray
     return np.where(through, passed, failed)
 
 
+def _tables(share: np.ndarray) -> np.ndarray:
+    """``_weights`` of many leaves (leaves x features) for every mask: leaves x features x masks."""
+    leaves, d = share.shape
+    at, weight = _gauss((d + 1) // 2)
+    lets, stops = share[:, :, None] * (1 - at) + at, share[:, :, None] * (1 - at)
+    product = np.ones((leaves, 1, len(at)))
+    for i in range(d):
+        product = np.concatenate([product * stops[:, i, None], product * lets[:, i, None]], axis=1)
+    product = product.swapaxes(1, 2)
+    passed = (1 - share)[:, :, None] * ((weight / lets) @ product)
+    failed = -share[:, :, None] * ((weight / stops) @ product)
+    return np.where(_masks(d), passed, failed)
+
+
+def _groups(codes: np.ndarray) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Features whose values occur in few combinations: (features, features x combinations, combination of each row)."""
+    groups: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+    for f, column in enumerate(codes):
+        if groups:
+            members, combinations, row = groups[-1]
+            both, first, back = np.unique(row * (column.max() + 1) + column, return_index=True, return_inverse=True)
+            if len(both) <= max(len(column) // 8, 1):
+                groups[-1] = [*members, f], codes[[*members, f]][:, first], back
+                continue
+        values, back = np.unique(column, return_inverse=True)
+        groups.append(([f], values[None], back))
+    return groups
+
+
 def contributions(x: np.ndarray, pick: np.ndarray, paths: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows x features, base per row) for the value column ``pick`` of each row."""
-    x = np.ascontiguousarray(np.where(np.isnan(x), np.inf, x).T)
-    out, base = np.zeros(x.shape), np.zeros(x.shape[1])
-    for low, high, share, used, value in zip(*(paths[c] for c in ("low", "high", "share", "used", "value"))):
-        mine = value[0] if len(value) == 1 else value[pick]
-        base += mine * share.prod()
-        on = np.flatnonzero(used)
-        if not len(on):
+    """(rows x features, base per row) for the value column ``pick`` of each row.
+
+    A leaf has one table entry per class and mask of the features that let a row through. Masks are put together from
+    those of groups of features, so a leaf costs a few look-ups per row, not one pass per feature.
+    """
+    x = np.where(np.isnan(x), np.inf, x).T
+    width, rows = x.shape
+    low, high, share, used, value = (paths[c] for c in ("low", "high", "share", "used", "value"))
+    classes = value.shape[1]
+    pick = pick if classes > 1 else np.zeros(rows, np.int64)
+    base = (value * share.prod(axis=1)[:, None]).sum(axis=0)[pick]
+    out = np.zeros((rows, width))
+    if not rows or not len(value):
+        return out, base
+    known = [np.unique(column, return_inverse=True) for column in x]
+    # a value lets the row through if its place is from first to before last
+    first = np.column_stack([np.where(low[:, f] == -np.inf, 0, np.searchsorted(v, low[:, f], "right")) for f, (v, _) in enumerate(known)])
+    last = np.column_stack([np.where(high[:, f] == np.inf, len(v), np.searchsorted(v, high[:, f], "right")) for f, (v, _) in enumerate(known)])
+    codes = np.stack([back for _, back in known])
+    groups, sizes, bit = _groups(codes), used.sum(axis=1), used.cumsum(axis=1) - 1
+    mask, found = np.empty(rows, np.intp), np.empty((rows, width))
+    for d in range(1, width + 1):
+        same = np.flatnonzero(sizes == d)
+        if 2**d > max(rows, SMALL_TABLE):
+            for leaf in same.tolist():
+                on = np.flatnonzero(used[leaf])
+                through = (codes[on] >= first[leaf, on, None]) & (codes[on] < last[leaf, on, None])
+                out[:, on] += (_weights(share[leaf, on], through) * value[leaf][pick]).T
             continue
-        through = [x[f] <= high[f] if low[f] == -np.inf else x[f] > low[f] if high[f] == np.inf else (x[f] > low[f]) & (x[f] <= high[f]) for f in on]
-        if 2 ** len(on) <= len(base):
-            mask = through[0].astype(np.int64)
-            for i, t in enumerate(through[1:], 1):
-                mask |= t.astype(np.int64) << i
-            weights = _weights(share[on])[:, mask]
-        else:
-            weights = _weights(share[on], np.stack(through))
-        out[on] += weights * mine
-    return out.T, base
+        class_at = pick.astype(np.intp) << d
+        step = max(1, min(LEAVES, TABLE_BYTES // ((classes << d) * width * 8)))
+        for part in np.split(same, np.arange(step, len(same), step)):
+            n = len(part)
+            mine, on = used[part], np.nonzero(used[part])[1].reshape(n, d)
+            entries = np.zeros((n, 2**d, width))
+            entries[np.arange(n)[:, None], :, on] = _tables(share[part[:, None], on])
+            entries = (entries[:, None] * value[part][:, :, None, None]).reshape(n, classes << d, width)
+            masks = []
+            for members, combinations, _ in groups:
+                of = np.zeros((n, combinations.shape[1]), np.intp)
+                for f, at in zip(members, combinations):
+                    place = np.arange(len(known[f][0]))
+                    lets = (place >= first[part, f, None]) & (place < last[part, f, None]) & mine[:, f, None]
+                    of += (lets.astype(np.intp) << np.maximum(bit[part, f, None], 0))[:, at]
+                masks.append(of)
+            for i in range(n):
+                mask[:] = class_at
+                for of, (_, _, row) in zip(masks, groups):
+                    mask += of[i].take(row)
+                entries[i].take(mask, axis=0, out=found, mode="clip")
+                out += found
+    return out, base
 
 
 def _adder(sent, width: int):
