@@ -29,11 +29,9 @@ from apronflow.models.scoring import per_vector, top_factors
 from apronflow.sources.scratch import scratch_path
 
 PART_BYTES = 64 << 20
-# leaves whose tables are made at once, the bytes these take if they are several, and the entries of a table that is made
-# however few the rows
-LEAVES = 64
-TABLE_BYTES = 8 << 20
-SMALL_TABLE = 64
+# leaves whose tables are made at once, and the bytes these take if they are several
+LEAVES = 256
+TABLE_BYTES = 32 << 20
 
 # value: what a leaf adds to the output, one number per class; rows with x <= threshold go below
 NODES = "tree INT, node INT, feature INT, threshold DOUBLE, below INT, above INT, cover DOUBLE, value ARRAY<DOUBLE>"
@@ -191,10 +189,10 @@ def contributions(x: np.ndarray, pick: np.ndarray, paths: dict[str, np.ndarray])
     low, high, share, used, value = (paths[c] for c in ("low", "high", "share", "used", "value"))
     classes = value.shape[1]
     pick = pick if classes > 1 else np.zeros(rows, np.int64)
-    base = (value * share.prod(axis=1)[:, None]).sum(axis=0)[pick]
     out = np.zeros((rows, width))
     if not rows or not len(value):
-        return out, base
+        return out, np.zeros(rows)
+    base = (value * share.prod(axis=1)[:, None]).cumsum(axis=0)[-1][pick]
     known = [np.unique(column, return_inverse=True) for column in x]
     # a value lets the row through if its place is from first to before last
     first = np.column_stack([np.where(low[:, f] == -np.inf, 0, np.searchsorted(v, low[:, f], "right")) for f, (v, _) in enumerate(known)])
@@ -202,36 +200,42 @@ def contributions(x: np.ndarray, pick: np.ndarray, paths: dict[str, np.ndarray])
     codes = np.stack([back for _, back in known])
     groups, sizes, bit = _groups(codes), used.sum(axis=1), used.cumsum(axis=1) - 1
     mask, found = np.empty(rows, np.intp), np.empty((rows, width))
-    for d in range(1, width + 1):
-        same = np.flatnonzero(sizes == d)
-        if 2**d > max(rows, SMALL_TABLE):
-            for leaf in same.tolist():
-                on = np.flatnonzero(used[leaf])
-                through = (codes[on] >= first[leaf, on, None]) & (codes[on] < last[leaf, on, None])
-                out[:, on] += (_weights(share[leaf, on], through) * value[leaf][pick]).T
-            continue
-        class_at = pick.astype(np.intp) << d
-        step = max(1, min(LEAVES, TABLE_BYTES // ((classes << d) * width * 8)))
-        for part in np.split(same, np.arange(step, len(same), step)):
-            n = len(part)
-            mine, on = used[part], np.nonzero(used[part])[1].reshape(n, d)
-            entries = np.zeros((n, 2**d, width))
-            entries[np.arange(n)[:, None], :, on] = _tables(share[part[:, None], on])
-            entries = (entries[:, None] * value[part][:, :, None, None]).reshape(n, classes << d, width)
-            masks = []
-            for members, combinations, _ in groups:
-                of = np.zeros((n, combinations.shape[1]), np.intp)
-                for f, at in zip(members, combinations):
-                    place = np.arange(len(known[f][0]))
-                    lets = (place >= first[part, f, None]) & (place < last[part, f, None]) & mine[:, f, None]
-                    of += (lets.astype(np.intp) << np.maximum(bit[part, f, None], 0))[:, at]
-                masks.append(of)
-            for i in range(n):
-                mask[:] = class_at
+    # leaves are added up in their order; larger tables than there are rows are not made
+    made = [d for d in range(1, width + 1) if 2**d <= rows]
+    class_at = {d: pick.astype(np.intp) << d for d in made}
+    step = max(1, min(LEAVES, TABLE_BYTES // (width * 8 * (classes << max(made, default=0)))))
+    for start in range(0, len(value), step):
+        chunk = slice(start, start + step)
+        entries: list[np.ndarray | None] = [None] * len(sizes[chunk])
+        for d in made:
+            part = start + np.flatnonzero(sizes[chunk] == d)
+            if len(part):
+                on = np.nonzero(used[part])[1].reshape(-1, d)
+                filled = np.zeros((len(part), 2**d, width))
+                filled[np.arange(len(part))[:, None], :, on] = _tables(share[part[:, None], on])
+                filled = (filled[:, None] * value[part][:, :, None, None]).reshape(len(part), classes << d, width)
+                for leaf, table in zip(part.tolist(), filled):
+                    entries[leaf - start] = table
+        masks = []
+        for members, combinations, _ in groups:
+            of = np.zeros((len(entries), combinations.shape[1]), np.intp)
+            for f, at in zip(members, combinations):
+                place = np.arange(len(known[f][0]))
+                lets = (place >= first[chunk, f, None]) & (place < last[chunk, f, None]) & used[chunk, f, None]
+                of += (lets.astype(np.intp) << np.maximum(bit[chunk, f, None], 0))[:, at]
+            masks.append(of)
+        for i, table in enumerate(entries):
+            leaf = start + i
+            if table is not None:
+                mask[:] = class_at[int(sizes[leaf])]
                 for of, (_, _, row) in zip(masks, groups):
                     mask += of[i].take(row)
-                entries[i].take(mask, axis=0, out=found, mode="clip")
+                table.take(mask, axis=0, out=found, mode="clip")
                 out += found
+            elif sizes[leaf]:
+                on = np.flatnonzero(used[leaf])
+                through = (codes[on] >= first[leaf, on, None]) & (codes[on] < last[leaf, on, None])
+                out[:, on] += (_weights(share[leaf, on], through) * value[leaf][pick]).T
     return out, base
 
 
